@@ -4,14 +4,28 @@ from __future__ import annotations
 
 from .common import read
 from .decontaminate import decontaminate
+from .language import identify
+from .toxicity import toxicity
+
+
+def op3_language_id(spark, sf_dir):
+    return identify(read(spark, sf_dir, "documents"))
 
 
 def op5_decontaminate(spark, sf_dir):
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op7_toxicity(spark, sf_dir):
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries():
-    return {"op5_decontaminate": op5_decontaminate}
+    return {
+        "op3_language_id": op3_language_id,
+        "op5_decontaminate": op5_decontaminate,
+        "op7_toxicity": op7_toxicity,
+    }
 
 
 def oracle_sql():
