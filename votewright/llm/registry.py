@@ -5,9 +5,18 @@ from __future__ import annotations
 from .common import read
 from .decontaminate import decontaminate
 from .language import identify
+from .neighbours import nearest
+from .packing import pack
 from .toxicity import toxicity
 
 
+def tokenizer_path():
+    """Where the public vocabulary lies on the driver; its content is sent to the executors."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_language_id(spark, sf_dir):
     return identify(read(spark, sf_dir, "documents"))
 
@@ -20,11 +29,21 @@ def op7_toxicity(spark, sf_dir):
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_packing(spark, sf_dir):
+    return pack(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op9_nearest(spark, sf_dir):
+    return nearest(read(spark, sf_dir, "embeddings"))
+
+
 def queries():
     return {
         "op3_language_id": op3_language_id,
         "op5_decontaminate": op5_decontaminate,
         "op7_toxicity": op7_toxicity,
+        "op8_packing": op8_packing,
+        "op9_nearest": op9_nearest,
     }
 
 
