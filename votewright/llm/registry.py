@@ -7,6 +7,7 @@ from .decontaminate import decontaminate
 from .language import identify
 from .neighbours import nearest
 from .packing import pack
+from .secrets import scan as scan_secrets
 from .toxicity import toxicity
 
 
@@ -25,6 +26,10 @@ def op5_decontaminate(spark, sf_dir):
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op6_secrets(spark, sf_dir):
+    return scan_secrets(read(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark, sf_dir):
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -41,6 +46,7 @@ def queries():
     return {
         "op3_language_id": op3_language_id,
         "op5_decontaminate": op5_decontaminate,
+        "op6_secrets": op6_secrets,
         "op7_toxicity": op7_toxicity,
         "op8_packing": op8_packing,
         "op9_nearest": op9_nearest,
