@@ -36,9 +36,9 @@ SIZE = 8
 GRAMS = (3, 4, 5, 6)
 SEGMENT = 48
 #: At most so many labelled texts of each label, none longer than TRAIN_CHARS, are learned from.
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 2500
 DECAY = 1e-6
-TRAIN_CHARS = 8000
+TRAIN_CHARS = 5000
 
 
 def bags(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +58,7 @@ def bags(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nda
         codes.append(common.span_hash(prefix, s, s + g))
     owner, code = np.concatenate(owners), np.concatenate(codes)
     order = np.argsort(owner, kind="stable")
-    return (code[order] >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64), np.bincount(owner, minlength=len(n))
+    return (code[order] >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32), np.bincount(owner, minlength=len(n))
 
 
 def first_uses(word: np.ndarray, number: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -82,12 +82,16 @@ class SubwordBag:
         """Adam on the cross-entropy; both classes weigh alike. epochs: over whole texts, then over their most toxic segments."""
         data, off = common.utf8(pa.array(texts, pa.large_string()))
         data = common.LOWER[data]
-        starts, ends, row = common.word_spans(data, off)
+        parts = []
+        for i, j in common.chunks(off):  # bounds the memory of the hashes
+            s, e, r = common.word_spans(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            parts.append((s + off[i], e + off[i], r + i, common.span_hash(common.prefix_codes(data[off[i] : off[j]]), s, e)))
+        starts, ends, row, codes = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 4
         if not len(starts) or len(set(labels.tolist())) < 2:
             self.bias[1] = 8.0 if len(labels) and labels.min() > 0 else -8.0
             return
-        codes = common.span_hash(common.prefix_codes(data), starts, ends)
         _, one, word = np.unique(codes, return_index=True, return_inverse=True)
+        del codes, parts
         grams, size = bags(data, starts[one], ends[one])
         at = np.concatenate([[0], np.cumsum(size)])
         first = np.searchsorted(row, np.arange(len(texts) + 1))
