@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import read
 from .decontaminate import decontaminate
 from .language import identify
+from .licenses import scan as scan_licenses
 from .neighbours import nearest
 from .packing import pack
 from .secrets import scan as scan_secrets
@@ -42,6 +43,10 @@ def op9_nearest(spark, sf_dir):
     return nearest(read(spark, sf_dir, "embeddings"))
 
 
+def op10_licenses(spark, sf_dir):
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "op3_language_id": op3_language_id,
@@ -50,6 +55,7 @@ def queries():
         "op7_toxicity": op7_toxicity,
         "op8_packing": op8_packing,
         "op9_nearest": op9_nearest,
+        "op10_licenses": op10_licenses,
     }
 
 
