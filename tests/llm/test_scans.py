@@ -80,4 +80,4 @@ def test_every_keyword_passes_the_prefilter():
     for _, _, _, keyword, regex in table:
         re.compile(regex)
         plain = regex.replace("[cs]e", "ce").replace("(?:", "").replace(")?", "").replace(")", "")
-        assert any(s in keyword or s in plain for s in licenses.STEMS) or short.search(keyword), keyword
+        assert any(s in keyword or s in plain for s in licenses.STEMS) or short.search(keyword) or short.search(plain), keyword

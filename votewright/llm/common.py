@@ -145,3 +145,8 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def constant(values, kind: str) -> Column:
+    """A constant array of numbers, sent to the planner as one string rather than one expression each."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")

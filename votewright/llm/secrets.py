@@ -22,6 +22,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import constant
 from .matches import KEY, found, placed, row_key, same_key
 
 #: Patterns in order of kind, with the least length of the part that decides.
@@ -100,7 +101,7 @@ def _pairs(codes):
 def scan(documents: DataFrame, margin: float = MARGIN) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end) and n_markov of each document."""
     rows = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    table = F.lit(log_ratios(documents))
+    table = constant(log_ratios(documents), "double")
     text = F.col("text")
     none = F.array().cast("array<struct<before:int,match:string>>")
     searches = [(ASSIGN, ASSIGN_NEAR), (ACCESS, "AKIA"), (HEX, "[0-9a-f]{16}"), (RUN, "[A-Za-z0-9+/_=-]{20}")]
