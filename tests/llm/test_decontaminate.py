@@ -48,7 +48,7 @@ def test_against_brute_force(spark):
     items = spark.createDataFrame(bench, "item_id long, text string")
     expected = brute(docs, bench)
     assert got(d.decontaminate(frame, items)) == expected
-    assert got(d.decontaminate(frame, items, block_bytes=40)) == expected
+    assert got(d.decontaminate(frame, items, block_bytes=150)) == expected
     assert got(d.decontaminate(frame, items.limit(0))) == {k: (v[0], 0, 0, d.EMPTY, False) for k, v in expected.items()}
     assert d.decontaminate(frame.limit(0), items).count() == 0
 
@@ -67,5 +67,7 @@ def test_fm_index():
 
 def test_cut(spark):
     docs = spark.createDataFrame([(1, "A one two three. B", "x", 18), (2, None, None, None), (3, "fine", "y", 4)], "doc_id long, text string, spans string, n_chars long").drop("spans")
-    found = d.decontaminate(docs, spark.createDataFrame([(7, "one two three")], "item_id long, text string"))
-    assert {r.doc_id: (r.text, r.n_chars) for r in d.cut(docs, found).collect()} == {1: ("A . B", 5), 2: (None, None), 3: ("fine", 4)}
+    bench = spark.createDataFrame([(7, "one two three"), (8, "beta"), (9, "gamma")], "item_id long, text string")
+    docs = docs.union(spark.createDataFrame([(4, "beta or gamma", 13)], docs.schema))
+    assert docs.exceptAll(d.cut(docs, bench.limit(0))).isEmpty()
+    assert {r.doc_id: (r.text, r.n_chars) for r in d.cut(docs, bench).collect()} == {1: ("A . B", 5), 2: (None, None), 3: ("fine", 4)}

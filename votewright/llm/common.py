@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -129,17 +130,27 @@ def crc_of(value) -> int:
     return zlib.crc32(str(value).encode())
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, or of the context; one beneath the warehouse where neither is set."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
+    return named or context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """A new folder's name within the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     """``df`` written to the cluster's shared checkpoint folder, its lineage cut.
 
     The folder is read from the session (spark.checkpoint.dir); only where none
     is set, as in local tests, a folder beneath the warehouse is taken.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager)
 
 

@@ -306,33 +306,40 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     return frame
 
 
-def cut(documents: DataFrame, found: DataFrame) -> DataFrame:
+def cut(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``documents`` without the contaminated ones, and without the words hit in the rest.
 
     A removed span goes from the first byte of its first word to the last byte
     of its last word. Columns stay as they were but for text and, where there
-    is one, n_chars.
+    is one, n_chars. One pass over the documents, no join.
     """
-    spans = found.where("n_hit > 0").select(F.col("doc_id").alias("hit_id"), "contaminated", "spans")
     names = documents.columns
-    joined = documents.join(spans, F.col("doc_id") == F.col("hit_id"), "left").where("not coalesce(contaminated, false)").drop("hit_id", "contaminated")
+    frame = documents.select(*(F.col(c).alias(f"in_{c}") for c in names if c != "text"), F.col("text").cast("string").alias("text"))
+    carried = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
+    context = documents.sparkSession.sparkContext
+    for rows in blocks(benchmark, block_bytes):
+        sent = context.broadcast(Phrases(rows, window))
+        frame = frame.mapInArrow(lambda batches, sent=sent: scan(batches, sent.value, False), f"{carried}, spans array<struct<start:long,end:long>>, items array<string>")
+    if "spans" not in frame.columns:
+        return documents
 
     def strip(batches):
         for batch in batches:
-            texts, spans_ = batch.column("text").to_pylist(), batch.column("spans").to_pylist()
-            changed = {r for r, s in enumerate(spans_) if s}
-            out = [without(t, s) if s else t for t, s in zip(texts, spans_, strict=True)]
+            items = batch.column("items").to_pylist()
+            batch = batch.filter(pa.array([len(x) < 2 for x in items], pa.bool_()))
+            texts, spans = batch.column("text").to_pylist(), batch.column("spans").to_pylist()
+            out = [without(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
             arrays = []
             for c in names:
-                a = batch.column(c)
+                a = batch.column(c if c == "text" else f"in_{c}")
                 if c == "text":
                     a = pa.array(out, a.type)
                 elif c == "n_chars":
-                    a = pa.array([len(out[r]) if r in changed else v for r, v in enumerate(a.to_pylist())], a.type)
+                    a = pa.array([len(t) if s else v for t, s, v in zip(out, spans, a.to_pylist(), strict=True)], a.type)
                 arrays.append(a)
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return joined.mapInArrow(strip, documents.schema)
+    return frame.mapInArrow(strip, documents.schema)
 
 
 def without(text: str, spans: list[dict]) -> str:

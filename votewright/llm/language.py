@@ -158,7 +158,7 @@ LETTER = np.zeros(256, dtype=bool)
 LETTER[65:91] = LETTER[97:123] = True
 
 
-def predict(batches: Iterator[pa.RecordBatch], model: Frozen | None) -> Iterator[pa.RecordBatch]:
+def predict(batches: Iterator[pa.RecordBatch], model: Frozen | None, keep_text: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = common.utf8(batch.column("text"))
         n = batch.num_rows
@@ -180,7 +180,8 @@ def predict(batches: Iterator[pa.RecordBatch], model: Frozen | None) -> Iterator
             names[i:j] = np.where(has, np.array(model.classes, dtype=object)[best], UNDETERMINED)
             scores[i:j] = np.where(has, np.clip(total[np.arange(j - i), best], 0, 1), 0.0)
         arrays = [pa.array(names.tolist(), pa.string()), pa.array(scores)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), *arrays], names=[*(c for c in batch.schema.names if c != "text"), "lang_pred", "score"])
+        kept = [c for c in batch.schema.names if c != "text" or keep_text]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *arrays], names=[*kept, "lang_pred", "score"])
 
 
 def sample(documents: DataFrame, rows: int = TRAIN_ROWS, windows: int = TRAIN_WINDOWS) -> list[tuple[str, list[str]]]:
@@ -220,11 +221,21 @@ def train(rows: list[tuple[str, list[str]]], epochs: int = EPOCHS) -> Frozen | N
     return net.freeze()
 
 
-def identify(documents: DataFrame, keep: tuple[str, ...] = (), rows: int = TRAIN_ROWS, model: Frozen | None = None) -> DataFrame:
-    """doc_id, further columns ``keep``, held_out, lang_pred and score of each document."""
-    spark = documents.sparkSession
+def identify(documents: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of each document."""
     frame = documents.withColumn("text", F.col("text").cast("string"))
-    sent = spark.sparkContext.broadcast(model or train(sample(frame, rows)))
-    asked = frame.select("doc_id", *keep, "text", F.coalesce(common.crc_mod(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema if f.name != "text")
-    return asked.mapInArrow(lambda batches: predict(batches, sent.value), f"{fields}, lang_pred string, score double")
+    sent = documents.sparkSession.sparkContext.broadcast(train(sample(frame, rows)))
+    asked = frame.select("doc_id", "text", F.coalesce(common.crc_mod(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"))
+    kind = asked.schema["doc_id"].dataType.simpleString()
+    return asked.mapInArrow(lambda batches: predict(batches, sent.value), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+
+
+def accepted(documents: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """``documents`` but for those whose language is undetermined: no text, or no letter in it."""
+    frame = documents.withColumn("text", F.col("text").cast("string"))
+    sent = documents.sparkSession.sparkContext.broadcast(train(sample(frame, rows)))
+    names = documents.columns
+    inner = frame.select(*(F.col(c).alias(c if c == "text" else f"in_{c}") for c in names))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema)
+    told = inner.mapInArrow(lambda batches: predict(batches, sent.value, True), f"{fields}, lang_pred string, score double")
+    return told.where(F.col("lang_pred") != UNDETERMINED).select(*(F.col(c if c == "text" else f"in_{c}").alias(c) for c in names))

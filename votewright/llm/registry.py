@@ -6,6 +6,8 @@ from .common import read
 from .decontaminate import decontaminate
 from .language import identify
 from .licenses import scan as scan_licenses
+from .lines import dedup
+from .neardup import classes
 from .neighbours import nearest
 from .packing import pack
 from .secrets import scan as scan_secrets
@@ -19,10 +21,18 @@ def tokenizer_path():
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_neardup(spark, sf_dir):
+    return classes(read(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark, sf_dir):
     return identify(read(spark, sf_dir, "documents"))
 
 
+def op4_lines(spark, sf_dir):
+    return dedup(read(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark, sf_dir):
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("spans")
 
@@ -47,9 +57,18 @@ def op10_licenses(spark, sf_dir):
     return scan_licenses(read(spark, sf_dir, "documents"))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
     return {
+        "pipeline": pipeline,
+        "op1_neardup": op1_neardup,
         "op3_language_id": op3_language_id,
+        "op4_lines": op4_lines,
         "op5_decontaminate": op5_decontaminate,
         "op6_secrets": op6_secrets,
         "op7_toxicity": op7_toxicity,
@@ -60,4 +79,5 @@ def queries():
 
 
 def oracle_sql():
+    """None of these can be said in SQL on whole tables; tests/llm holds each against brute force."""
     return {}
