@@ -10,6 +10,7 @@ from .lines import dedup
 from .neardup import classes
 from .neighbours import nearest
 from .packing import pack
+from .repeats import remove_repeats
 from .secrets import scan as scan_secrets
 from .toxicity import toxicity
 
@@ -25,6 +26,10 @@ def op1_neardup(spark, sf_dir):
     return classes(read(spark, sf_dir, "documents"))
 
 
+def op2_repeats(spark, sf_dir):
+    return remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark, sf_dir):
     return identify(read(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ def queries():
     return {
         "pipeline": pipeline,
         "op1_neardup": op1_neardup,
+        "op2_repeats": op2_repeats,
         "op3_language_id": op3_language_id,
         "op4_lines": op4_lines,
         "op5_decontaminate": op5_decontaminate,
