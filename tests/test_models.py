@@ -11,7 +11,7 @@ from votewright.operators.labeling import VoteFrame
 from votewright.operators.synthetic import simple_label_matrix
 from votewright.operators.training import Checkpointer, LogManager, Trainer
 
-from .test_labeling import frame
+from .test_labeling import frame, rows_of
 
 
 def probs(model, votes):
@@ -19,7 +19,7 @@ def probs(model, votes):
 
 
 def test_voters(spark):
-    votes = frame(spark, [[0, 1, 0], [0, 1, 0], [1, 0, 0], [-1, -1, 1], [-1, -1, -1]])
+    votes = frame(spark, rows_of("010", "010", "100", "..1", "..."))
     assert probs(MajorityLabelVoter(2), votes) == [[1, 0], [1, 0], [1, 0], [0, 1], [0.5, 0.5]]
     assert probs(MajorityClassVoter().fit([0.8, 0.2]), votes) == [[1, 0]] * 5
     p = np.array(probs(RandomVoter(2), votes))
@@ -29,7 +29,7 @@ def test_voters(spark):
 
 
 def test_pair_counts(spark):
-    votes = frame(spark, [[0, 1, 0], [0, 1, 0], [1, 0, 0], [0, 1, 1]])
+    votes = frame(spark, rows_of("010", "010", "100", "011"))
     counts, n = vote_counts(votes, 2)
     one_hot = np.array([[1, 0, 0, 1, 1, 0], [1, 0, 0, 1, 1, 0], [0, 1, 1, 0, 1, 0], [1, 0, 0, 1, 0, 1]])
     assert n == 4 and (counts == one_hot.T @ one_hot).all()
@@ -48,7 +48,7 @@ def fitted(gold, votes, k=2, **kw):
 
 
 def test_label_model_loss(spark):
-    model = fitted(None, np.array([[0, -1, 0], [0, 1, -1]]), n_epochs=0)
+    model = fitted(None, np.array(rows_of("0.0", "01.")), n_epochs=0)
     model.mu = model.mu_init + np.float32(0.05)
     loss, grad = model._loss(0.0)
     assert loss == pytest.approx(0.675, abs=0.01)

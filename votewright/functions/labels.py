@@ -36,7 +36,7 @@ def probs_to_preds(probs: Column | str, tie_break_policy: str = "random", index:
     """
     p = _col(probs)
     if tie_break_policy not in TIE_POLICIES:
-        raise ValueError(f"tie_break_policy={tie_break_policy} policy not recognized.")
+        raise ValueError(f"unknown tie_break_policy: {tie_break_policy}")
     top = F.array_max(p)
     ties = F.filter(F.transform(p, lambda x, i: F.when(top - x < tol, i)), lambda i: i.isNotNull())
     first = F.element_at(ties, 1).cast("int")
@@ -117,7 +117,7 @@ def cross_entropy_with_probs(logits: Column | str, target: Column | str, weight:
 def soft_loss(df: DataFrame, logits: str, target: str, weight: list[float] | None = None, reduction: str = "mean") -> DataFrame:
     """``loss`` for each row ("none"), or one row with the mean over rows or the sum."""
     if reduction not in ("none", "mean", "sum"):
-        raise ValueError("Keyword 'reduction' must be one of ['none', 'mean', 'sum']")
+        raise ValueError(f"unknown reduction: {reduction}")
     each = cross_entropy_with_probs(logits, target, weight)
     if reduction == "none":
         return df.withColumn("loss", each)

@@ -53,7 +53,7 @@ def lr_schedule(name: str, lr: float, total: int, per_epoch: int, config: LRSche
     if name not in ("constant", "linear", "exponential", "step"):
         raise ValueError(f"Unrecognized lr scheduler option '{name}'")
     if config.warmup_unit not in ("batches", "epochs"):
-        raise ValueError(f"warmup_unit must be 'batches' or 'epochs', but {config.warmup_unit} found.")
+        raise ValueError(f"{config.warmup_unit} is no warmup_unit (batches or epochs)")
     if config.warmup_steps < 0 or config.warmup_percentage < 0 or config.warmup_percentage > 1:
         raise ValueError("warmup_steps and warmup_percentage must not be negative")
     if config.warmup_steps:

@@ -18,7 +18,7 @@ class LFAnalysis:
 
     def __init__(self, votes: VoteFrame, lfs: list[LabelingFunction] | None = None, gold: str | None = None):
         if lfs is not None and len(lfs) != votes.m:
-            raise ValueError(f"Number of LFs ({len(lfs)}) and number of LF matrix columns ({votes.m}) are different")
+            raise ValueError(f"{len(lfs)} functions do not fit {votes.m} columns of votes")
         self.votes, self.gold = votes, gold
         self.names = [lf.name for lf in lfs] if lfs is not None else votes.names
         by = [gold] if gold else []

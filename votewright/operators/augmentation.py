@@ -31,7 +31,7 @@ def column_tf(name: str, column: str, f: Callable[[Column], Column]) -> Transfor
 class Policy:
     """Sequences of function numbers for each row. The empty sequence stands for the row as it is."""
 
-    def __init__(self, n_tfs: int, n_per_original: int = 1, keep_original: bool = True):
+    def __init__(self, n_tfs, n_per_original=1, keep_original=True):
         self._n, self.n_per_original, self.keep_original = n_tfs, n_per_original, keep_original
 
     def generate(self, rep: int, id_col: Column) -> Column:
@@ -54,14 +54,14 @@ class ApplyAllPolicy(Policy):
 class ApplyOnePolicy(ApplyAllPolicy):
     """The first function alone."""
 
-    def __init__(self, n_per_original: int = 1, keep_original: bool = True):
+    def __init__(self, n_per_original=1, keep_original=True):
         super().__init__(1, n_per_original, keep_original)
 
 
 class ApplyEachPolicy(Policy):
     """Each function alone, one copy for each."""
 
-    def __init__(self, n_tfs: int, keep_original: bool = True):
+    def __init__(self, n_tfs, keep_original=True):
         super().__init__(n_tfs, n_tfs, keep_original)
 
     def generate(self, rep: int, id_col: Column) -> Column:
@@ -71,7 +71,7 @@ class ApplyEachPolicy(Policy):
 class MeanFieldPolicy(Policy):
     """Independent draws of ``sequence_length`` functions with probabilities ``p``, fixed by seed, id, copy and place."""
 
-    def __init__(self, n_tfs: int, sequence_length: int = 1, p: list[float] | None = None, n_per_original: int = 1, keep_original: bool = True, seed: int = 0):
+    def __init__(self, n_tfs, sequence_length=1, p=None, n_per_original=1, keep_original=True, seed=0):
         super().__init__(n_tfs, n_per_original, keep_original)
         if p is None:
             raise ValueError("probabilities are needed")
@@ -93,7 +93,7 @@ class MeanFieldPolicy(Policy):
 class RandomPolicy(MeanFieldPolicy):
     """All functions are equally likely."""
 
-    def __init__(self, n_tfs: int, sequence_length: int = 1, n_per_original: int = 1, keep_original: bool = True, seed: int = 0):
+    def __init__(self, n_tfs, sequence_length=1, n_per_original=1, keep_original=True, seed=0):
         super().__init__(n_tfs, sequence_length, [1 / n_tfs] * n_tfs, n_per_original, keep_original, seed)
 
 

@@ -109,14 +109,15 @@ class MultitaskClassifier:
         self.name = name
         self.tasks: dict[str, Task] = {}
         self.module_pool: dict[str, Any] = {}
-        for task in tasks:
-            self.add_task(task)
+        for each in tasks:
+            self.add_task(each)
 
-    def add_task(self, task: Task) -> None:
-        if not isinstance(task, Task):
-            raise ValueError(f"Unrecognized task type {type(task)}.")
+    def add_task(self, task) -> None:
+        """A further task; its modules are those of the same name that are there already."""
+        if type(task).__name__ != "Task":
+            raise ValueError(f"not a task: {task!r}")
         if task.name in self.tasks:
-            raise ValueError(f"Found duplicate task {task.name}, different task should use different task name.")
+            raise ValueError(f"duplicate task name: {task.name}")
         for k, module in task.module_pool.items():
             self.module_pool.setdefault(k, module)
         task.module_pool = {k: self.module_pool[k] for k in task.module_pool}
@@ -136,7 +137,7 @@ class MultitaskClassifier:
                 try:
                     out[op.name], kept[op.name] = self.module_pool[op.module_name].forward(out[op.inputs])
                 except Exception as e:
-                    raise ValueError(f"Unsuccessful operation {op}: {e!r}.") from e
+                    raise ValueError(f"operation {op.name} failed: {e!r}") from e
         return out, kept
 
     def calculate_loss(self, x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> tuple[dict[str, float], dict[str, int], dict[str, np.ndarray]]:

@@ -112,7 +112,7 @@ def vote_counts(votes: VoteFrame, cardinality: int) -> tuple[np.ndarray, int]:
     d = votes.m * cardinality
     top, n, kinds = votes.df.agg(F.max(F.array_max("votes")), F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64("votes"))).first()
     if top is not None and top >= cardinality:
-        raise ValueError(f"L_train has cardinality {top + 1}, cardinality={cardinality} passed in.")
+        raise ValueError(f"a vote for class {top} does not fit the cardinality {cardinality}")
     counts = np.zeros((d, d))
     if kinds <= MAX_PATTERNS * 0.9:
         rows = votes.patterns().toLocalIterator()
@@ -160,33 +160,33 @@ class LabelModel(BaseLabeler):
         l2 = np.asarray(c.l2, dtype=np.float32)
         optimizer = Optimizer(c.optimizer, c.lr, float(l2) if l2.ndim == 0 else 0.0, c.optimizer_config)
         if c.lr_scheduler_config.warmup_steps and c.lr_scheduler_config.warmup_unit != "epochs":
-            raise ValueError("LabelModel does not support any warmup_unit other than 'epochs'.")
+            raise ValueError("the label model warms up in epochs; set warmup_unit to that")
         rate = lr_schedule(c.lr_scheduler, c.lr, c.n_epochs, 1, c.lr_scheduler_config)
         with np.errstate(over="ignore", invalid="ignore"):
             for epoch in range(c.n_epochs):
                 loss, grad = self._loss(l2)
                 if np.isnan(loss):
-                    raise ArithmeticError("Loss is NaN. Consider reducing learning rate.")
+                    raise ArithmeticError("the loss is NaN; try a smaller learning rate")
                 optimizer.lr = rate(epoch)
                 optimizer.step(params, {"mu": grad})
                 if c.log_freq and epoch % c.log_freq == 0:
                     logger.info("epoch %d: train/loss=%.3f", epoch, loss)
         if not np.isfinite(self.mu).all():
-            raise ArithmeticError("Loss is NaN. Consider reducing learning rate.")
+            raise ArithmeticError("the loss is NaN; try a smaller learning rate")
         self._clamp(c.mu_eps)
         self._break_symmetry()
         return self
 
     def _check(self, m: int) -> None:
         if m < 3:
-            raise ValueError(f"L_train should have at least 3 labeling functions, but only has {m}.")
+            raise ValueError(f"the label model needs at least 3 labeling functions, not {m}")
 
     def balance(self, class_balance: list[float] | None, dev_gold: DataFrame | None) -> np.ndarray:
         k = self.cardinality
         if class_balance is not None:
             p = np.asarray(class_balance, dtype=float)
             if len(p) != k:
-                raise ValueError(f"class_balance has length {len(p)}. Does not match LabelModel cardinality {k}.")
+                raise ValueError(f"class_balance has length {len(p)}, the cardinality is {k}")
         elif dev_gold is not None:
             name = dev_gold.columns[0]
             seen = {r[0]: r[1] for r in dev_gold.where(F.col(name) >= 0).groupBy(name).count().collect()}
@@ -196,7 +196,7 @@ class LabelModel(BaseLabeler):
         else:
             p = np.full(k, 1 / k)
         if (p == 0).any():
-            raise ValueError(f"Class balance prior is 0 for class(es) {np.flatnonzero(p == 0).tolist()}.")
+            raise ValueError(f"the prior is 0 for classes {np.flatnonzero(p == 0).tolist()}")
         return p
 
     def _init(self, c: LabelModelTrainConfig) -> None:
@@ -208,10 +208,9 @@ class LabelModel(BaseLabeler):
         if prec.shape != (m,):
             raise ValueError(f"prec_init must have shape {m}.")
         self.mu_init = np.zeros((m * k, k), dtype=np.float32)
-        diag = np.diag(self.O)
-        for i in range(m):
-            for y in range(k):
-                self.mu_init[i * k + y, y] = np.clip(diag[i * k + y] * prec[i] / self.p[y], 0, 1)
+        right = np.diag(self.O).reshape(m, k) * prec[:, None] / self.p
+        for y in range(k):
+            self.mu_init[y::k, y] = right[:, y].clip(0, 1)
         self.mu = (self.mu_init * np.float32(np.random.RandomState(c.seed).random_sample())).astype(np.float32)
 
     def _loss(self, l2: Any) -> tuple[float, np.ndarray]:
@@ -225,7 +224,8 @@ class LabelModel(BaseLabeler):
         return loss, -4 * fit @ (mu * p) + 2 * sums[:, None] * p[None, :] + 2 * d2 * away
 
     def _clamp(self, eps: float | None) -> None:
-        e = eps if eps is not None else min(0.01, 1 / 10 ** np.ceil(np.log10(max(self.n, 1))))
+        digits = int(np.ceil(np.log10(max(self.n, 1))))
+        e = min(10.0**-digits, 0.01) if eps is None else eps
         self.mu = np.clip(self.mu, e, 1 - e)
 
     def _break_symmetry(self) -> None:
@@ -252,8 +252,8 @@ class LabelModel(BaseLabeler):
     def get_weights(self) -> np.ndarray:
         """Accuracies given a vote, within [1e-6, 1]."""
         right = np.einsum("iyy,y->i", self.get_conditional_probs()[:, 1:, :], self.p)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.clip(np.nan_to_num(right / self.coverage, nan=1.0, posinf=1.0), 1e-6, 1.0)
+        share = np.divide(right, self.coverage, out=np.ones_like(right), where=self.coverage > 0)
+        return share.clip(1e-6, 1.0)
 
     def proba(self, votes: VoteFrame) -> Column:
         """softmax over classes of log prior + the log probabilities of the votes cast; abstentions say nothing."""

@@ -40,7 +40,8 @@ class LabelingFunction:
             raise ValueError(f"{self.name}: name the input columns of a {self.kind} function")
 
     def __repr__(self) -> str:
-        return f"{type(self).__name__} {self.name}, Preprocessors: {self.pre}"
+        kind = type(self).__name__
+        return f"{kind} {self.name}, Preprocessors: {self.pre}"
 
     def column(self) -> Column:
         """The vote as a column: negatives become -1, a null stays null."""
@@ -54,7 +55,7 @@ class LabelingFunction:
         for mapper in self.pre:
             x = mapper.call_row(x) if self.kind == "row" else map_batch(x, [mapper])
             if x is None:
-                raise ValueError("Preprocessor should not return None")
+                raise ValueError(f"preprocessor {mapper.name} gave None")
         return self.f(x, **self.resources)
 
 

@@ -25,11 +25,11 @@ def unique_names(names: list[str]) -> None:
 
 
 def missing_parentheses(name: Any) -> None:
-    if callable(name):
-        raise ValueError("Looks like this decorator is missing parentheses!")
+    if hasattr(name, "__call__"):
+        raise ValueError("the decorator is missing parentheses")
 
 
-def get_parameters(f: Callable[..., Any], allow_args: bool = False, allow_kwargs: bool = False) -> list[str]:
+def get_parameters(f, allow_args=False, allow_kwargs=False) -> list[str]:
     """Names of the arguments of ``f``; *args and **kwargs raise unless allowed."""
     kinds = inspect.signature(f).parameters.values()
     if not allow_args and any(p.kind is p.VAR_POSITIONAL for p in kinds):
@@ -56,7 +56,7 @@ def get_hashable(value: Any) -> Any:
     if isinstance(value, pd.Series):
         value = value.to_dict()
     if isinstance(value, Mapping):
-        return frozenset((k, get_hashable(v)) for k, v in value.items())
+        return frozenset(zip(value, map(get_hashable, value.values()), strict=True))
     if isinstance(value, list | tuple):
         return tuple(get_hashable(v) for v in value)
     if isinstance(value, np.ndarray):
@@ -94,7 +94,8 @@ class Mapper:
             raise ValueError(f"{self.name}: declare the outputs of a {self.kind} mapper")
 
     def __repr__(self) -> str:
-        return f"{type(self).__name__} {self.name}, Pre: {self.pre}"
+        kind = type(self).__name__
+        return f"{kind} {self.name}, Pre: {self.pre}"
 
     def schema(self) -> T.StructType:
         if isinstance(self.outputs, str):  # parsed on the driver, before the mapper is sent to workers
@@ -208,7 +209,7 @@ def map_batch(pdf: pd.DataFrame, mappers: Iterable[Mapper], tolerant: bool = Fal
                     raise
                 out = {}
             if out is None and not alone:
-                raise ValueError("Preprocessor should not return None")
+                raise ValueError(f"preprocessor {m.name} gave None")
             keep.append(out is not None)
             rows.append(m.named(out) if out is not None else {})
         pdf = pdf.assign(**{n: pd.Series([r.get(n) for r in rows], index=pdf.index, dtype=object) for n in names})

@@ -79,7 +79,7 @@ def roc_auc(df: DataFrame, gold: str, probs: str, *by: str) -> DataFrame:
     so no task sees all scores. Null where a class is missing.
     """
     if df.where(F.size(probs) != 2).limit(1).count():
-        raise ValueError("Metric roc_auc is currently only defined for binary problems.")
+        raise ValueError("roc_auc needs two classes")
     score = F.get(probs, F.lit(1))
     counts = df.groupBy(*by, score.alias("score")).agg(F.count_if(F.col(gold) == 1).alias("pos"), F.count_if(F.col(gold) != 1).alias("neg"))
     parts = counts.repartitionByRange(F.col("score")).withColumn("part", F.spark_partition_id())

@@ -18,7 +18,7 @@ def random_cpts(m: int, cardinality: int, abstain_multiplier: float, rng: np.ran
     return p / p.sum(axis=1, keepdims=True)
 
 
-def simple_label_matrix(n: int, m: int, cardinality: int, abstain_multiplier: float = 1.0, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def simple_label_matrix(n: int, m: int, cardinality: int, abstain_multiplier=1.0, seed: int = 0) -> tuple[np.ndarray, ...]:
     """(cpts, gold, votes) as arrays."""
     rng = np.random.RandomState(seed)
     cpts = random_cpts(m, cardinality, abstain_multiplier, rng)
@@ -28,7 +28,7 @@ def simple_label_matrix(n: int, m: int, cardinality: int, abstain_multiplier: fl
     return cpts, gold, np.minimum(votes, cardinality - 1)
 
 
-def synthetic_votes(spark: SparkSession, n: int, m: int, cardinality: int, abstain_multiplier: float = 1.0, seed: int = 0) -> tuple[np.ndarray, DataFrame]:
+def synthetic_votes(spark: SparkSession, n: int, m: int, cardinality: int, abstain_multiplier=1.0, seed: int = 0) -> tuple[np.ndarray, DataFrame]:
     """(cpts, frame of id, gold, votes); rows are drawn by hashing, so the frame is the same however it is split."""
     cpts = random_cpts(m, cardinality, abstain_multiplier, np.random.RandomState(seed))
     gold = F.floor(uniform(seed, "id", -1) * cardinality).cast("int")

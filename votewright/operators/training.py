@@ -78,12 +78,12 @@ class LogManager:
         return self.checkpointer is not None and self.evaluations % self.checkpointer.config.checkpoint_factor == 0
 
     def cleanup(self, model: MultitaskClassifier) -> MultitaskClassifier:
-        if self.checkpointer is not None:
-            self.checkpointer.clear()
-            model = self.checkpointer.load_best_model(model)
         if self.writer is not None:
             self.writer.cleanup()
-        return model
+        if self.checkpointer is None:
+            return model
+        self.checkpointer.clear()
+        return self.checkpointer.load_best_model(model)
 
 
 class Checkpointer:
@@ -144,13 +144,13 @@ class LogWriter:
         self.folder.mkdir(parents=True, exist_ok=True)
         self.scalars: dict[str, list] = {}
 
-    def add_scalar(self, name: str, value: float, step: float) -> None:
+    def add_scalar(self, name: str, value, step) -> None:
         self.scalars.setdefault(name, []).append([step, float(value)])
 
     def write_config(self, config: Any) -> None:
         self.write_text(repr(config), "config.txt")
 
-    def write_text(self, text: str, filename: str) -> None:
+    def write_text(self, text, filename) -> None:
         (self.folder / filename).write_text(text)
 
     def write_json(self, value: Any, filename: str) -> None:
@@ -175,7 +175,7 @@ class Trainer:
         train = [d for d in data if d.split == c.train_split]
         valid = [d for d in data if d.split == c.valid_split]
         if not train:
-            raise ValueError(f"Cannot find the specified train_split {c.train_split} in dataset splits {sorted({d.split for d in data})}.")
+            raise ValueError(f"no data set has the train_split {c.train_split}: {sorted({d.split for d in data})}")
         if c.batch_scheduler not in SCHEDULERS:
             raise ValueError(f"Unrecognized batch scheduler option '{c.batch_scheduler}'")
         if c.logging and c.log_writer != "json":
