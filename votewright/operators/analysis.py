@@ -48,11 +48,11 @@ class LFAnalysis:
 
     def counts(self) -> DataFrame:
         """One row a function: j, name and its integer counts; everything else derives from it."""
-        total = self.patterns.agg(F.sum("n").alias("total"))
         each = self.patterns.select("*", F.posexplode("votes").alias("j", "vote"))
         cast = F.col("vote") >= 0
         count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias
         columns = [
+            F.sum("n").alias("total"),  # every row has an element for each function
             F.array_sort(F.collect_set(F.when(cast, F.col("vote")))).alias("polarity"),
             count(cast)("n_votes"),
             count(cast & (F.col("n_cast") >= 2))("n_overlaps"),
@@ -62,7 +62,7 @@ class LFAnalysis:
             y = F.col(self.gold)
             columns += [count(cast & (F.col("vote") == y))("correct"), count(cast & (y >= 0) & (F.col("vote") != y))("incorrect")]
         names = F.array(*map(F.lit, self.names))
-        return each.groupBy("j").agg(*columns).crossJoin(F.broadcast(total)).withColumn("name", F.get(names, F.col("j")))  # one row of totals
+        return each.groupBy("j").agg(*columns).withColumn("name", F.get(names, F.col("j")))
 
     def lf_polarities(self) -> list[list[int]]:
         return [r.polarity for r in self.counts().orderBy("j").collect()]

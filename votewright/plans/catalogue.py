@@ -7,7 +7,7 @@ where a document has none. Every oracle starts from the same CASE expressions.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -193,9 +193,8 @@ def label_model_weights(spark, d):
 
 
 def class_balance(spark, d):
-    g = gold_documents(spark, d).where("gold >= 0")
-    total = g.agg(F.count(F.lit(1)).alias("total"))
-    return g.groupBy("gold").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total)).select("gold", (F.col("n") / F.col("total")).alias("share"))  # one row of totals
+    counts = gold_documents(spark, d).where("gold >= 0").groupBy("gold").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("gold", (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))).alias("share"))  # a row for each class
 
 
 def _metric(name, **kw):
