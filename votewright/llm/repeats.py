@@ -47,7 +47,7 @@ SHARD_BYTES = 16 << 20
 HOT = 20_000
 LAST_ID = (1 << 63) - 1
 
-ANCHOR = np.dtype([("h", "<u8"), ("r", "<u8"), ("doc", "<i8"), ("at", "<i8"), ("before", "u1"), ("after", "u1")])
+ANCHOR = np.dtype([("h", "<u8"), ("r", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("before", "u1"), ("after", "u1")])
 SPAN = np.dtype([("doc", "<i8"), ("start", "<i8"), ("size", "<i4")])
 EDGE = np.dtype([("h", "<u8"), ("doc", "<i8"), ("at", "<i8"), ("before", "u1"), ("after", "u1"), ("hot", "u1"), ("left", f"V{REACH}"), ("right", f"V{LENGTH}")])
 EDGE_KEY = np.dtype([(c, EDGE[c]) for c in ("h", "doc", "at", "before", "after", "hot")])
@@ -381,6 +381,8 @@ def _removed(rows: DataFrame, shard_bytes: int) -> DataFrame:
     buckets = int(total // shard_bytes) | 1
     found = rows.mapInArrow(lambda batches: find_anchors(batches, buckets), SCHEMA)
     met = common.checkpointed(found.groupBy("bucket").applyInArrow(lambda t: meet(t, buckets), SCHEMA))
+    del found
+    common.release(rows.sparkSession)
     docs = rows.select("id", "text", F.pmod("id", F.lit(buckets)).cast("int").alias("bucket"))
     edges = met.where(F.col("kind") == EDGES)
     around = docs.groupBy("bucket").cogroup(edges.groupBy("bucket")).applyInArrow(lambda d, e: fetch(d, e, buckets), SCHEMA)

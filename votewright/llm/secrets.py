@@ -53,8 +53,7 @@ __init_subclass__ numpy_array_from_buffer convolutional_neural_network stochasti
 AbstractSingletonProxyFactoryBean internationalization_and_localization characterEncodingFilter
 pneumonoultramicroscopic responsibilities-and-requirements Donaudampfschifffahrtsgesellschaft
 contraintes_environnementales desenvolvimiento_extraordinario Rechtsschutzversicherungsgesellschaften
-======================== ------------------------ ________________________ 00000000000000000000
-""".split()
+""".split() + [c * 24 for c in "=-_0"]
 
 
 def log_ratios(documents: DataFrame, strings: int = RANDOM_STRINGS, rows: int = SAMPLE_DOCUMENTS) -> list[float]:
