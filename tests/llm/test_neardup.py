@@ -66,3 +66,19 @@ def test_components_of_a_long_chain(spark):
     edges = [(bytes([k]), bytes([k + 1])) for k in range(60)] + [(b"\xf0", b"\xf1"), (b"\xf2", b"\xf1")]
     got = {bytes(r.node): bytes(r.label) for r in components(spark.createDataFrame(edges, "a binary, b binary")).collect()}
     assert set(got.values()) == {b"\x00", b"\xf0"} and len(got) == 64
+
+
+def test_crowded_buckets_give_the_same_classes(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(60)]
+    docs = []
+    for i in range(40):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3])):
+            w[rng.randrange(60)] = f"x{rng.randrange(1000)}"
+        docs.append((i, " ".join(w)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    plain = {r.doc_id: r.class_id for r in neardup.classes(frame).collect()}
+    monkeypatch.setattr(neardup, "CROWD", 0)
+    monkeypatch.setattr(neardup, "TURNS", 2)
+    assert {r.doc_id: r.class_id for r in neardup.classes(frame).collect()} == plain

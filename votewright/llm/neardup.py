@@ -10,10 +10,11 @@ Points later than a document's bound on its slowest register are never drawn.
 
 ``BANDS`` bands of ``ROWS`` registers: two documents with similarity 0.8 meet
 in a band but for 2 in 100,000 cases. Equal word sequences are one node from
-the start. In each bucket all nodes are linked to the smallest first; pairs are
-verified exactly on multisets; components are formed, and then every pair of a
-bucket that is still apart is verified too, so nothing that banding found is
-lost and a large group of copies costs one pair a member.
+the start. In each bucket all nodes are linked to the smallest first (and, in
+crowded buckets, to further centres by turns); pairs are verified exactly on
+multisets; components are formed, and then every pair of a bucket that is still
+apart is verified too, so nothing that banding found is lost and a large group
+of copies costs a few pairs a member.
 
 Defined results: documents without words are classes of their own; rows with a
 null doc_id are compared with none and get a null class; rows that repeat a
@@ -39,6 +40,8 @@ BANDS, ROWS = 28, 5
 REGISTERS = BANDS * ROWS
 #: A register of a document is empty after the first bound with a chance of e ** -MARGIN / REGISTERS.
 MARGIN = 6.0
+#: More stars, each with another centre, are tried while buckets hold so many unlinked pairs a member, at most so often.
+CROWD, TURNS = 8, 6
 STEP = np.uint64(0xA0761D6478BD642F)
 
 
@@ -177,6 +180,20 @@ def verified(pairs: DataFrame, reps: DataFrame, documents: DataFrame, threshold:
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(lambda batches: check_pairs(batches, threshold), "a binary, b binary")
 
 
+def still_apart(members: DataFrame, label: DataFrame) -> DataFrame:
+    """code, node, label of the buckets that hold nodes of several components."""
+    held = members.join(label, "node", "left").select("code", "node", F.coalesce("label", "node").alias("label"))
+    mixed = held.groupBy("code").agg((F.min("label") != F.max("label")).alias("apart")).where("apart")
+    return held.join(mixed, "code", "left_semi")
+
+
+def crowded(apart: DataFrame) -> bool:
+    """Whether the pairs of different components within buckets are more than ``CROWD`` times their members."""
+    sizes = apart.groupBy("code", "label").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("code").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"))
+    pairs, members = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
+    return bool(members) and pairs > CROWD * members
+
+
 def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id and class_size (documents of the class) of each document."""
     rows = documents.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
@@ -192,12 +209,20 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     stars = members.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     edges = common.checkpointed(verified(stars, reps, documents, threshold))
     label = components(edges)
-    held = members.join(label, "node", "left").select("code", "node", F.coalesce("label", "node").alias("label"))
-    mixed = held.groupBy("code").agg((F.min("label") != F.max("label")).alias("apart")).where("apart")
-    apart = common.checkpointed(held.join(mixed, "code", "left_semi"))
+    tested = stars
+    for turn in range(TURNS + 1):
+        apart = common.checkpointed(still_apart(members, label))
+        if turn == TURNS or not crowded(apart):
+            break
+        chosen = apart.groupBy("code").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "label")).alias("p")).select("code", F.col("p.node").alias("pivot"), F.col("p.label").alias("pl"))
+        star = apart.join(chosen, "code").where("label != pl").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
+        star = common.checkpointed(star.join(tested, ["a", "b"], "left_anti"))
+        tested = tested.unionByName(star)
+        edges = common.checkpointed(edges.unionByName(verified(star, reps, documents, threshold)))
+        label = components(edges)
     left = apart.select("code", F.col("node").alias("a"), F.col("label").alias("la"))
     right = apart.select("code", F.col("node").alias("b"), F.col("label").alias("lb"))
-    rest = left.join(right, "code").where("a > b and la != lb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    rest = left.join(right, "code").where("a > b and la != lb").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
     rest = common.checkpointed(rest)
     if not rest.isEmpty():
         more = common.checkpointed(verified(rest, reps, documents, threshold))
