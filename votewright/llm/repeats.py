@@ -42,7 +42,7 @@ LENGTH = 100
 GRAM = 32
 REACH = LENGTH - GRAM  # the farthest start of a string before its anchor
 #: Bytes of text for each shard and document bucket, about.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 #: Differing runs of one anchor that are still compared in a suffix array.
 HOT = 20_000
 LAST_ID = (1 << 63) - 1
@@ -351,6 +351,7 @@ def finish(docs: pa.Table, spans: pa.Table) -> pa.Table:
     inner = off[:-1][np.diff(off) > 0]
     begin[inner] = gone[inner]
     removed, runs = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, begin))
+    del depth, begin
     digests, kept = [], ~gone
     for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
         digests.append(hashlib.sha256(data[a:b][kept[a:b]].tobytes()).hexdigest())
