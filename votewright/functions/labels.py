@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ABSTAIN = -1
@@ -65,20 +65,31 @@ def to_int_label(column: Column | str) -> Column:
     return F.when(c != F.floor(c), F.raise_error(F.lit("Input contains at least one non-integer value."))).otherwise(c).cast("int")
 
 
+def range_part(df: DataFrame, column: str, parts: int = 64) -> Column:
+    """The number of the range that a value lies in; ranges follow each other and hold about equally many rows.
+
+    The limits are at most ``4 * parts`` values, chosen by a hash, so the same
+    value gets the same number wherever and however often it is computed.
+    """
+    total = df.count()
+    some = df.select(column).where(F.col(column).isNotNull() & (F.pmod(F.xxhash64(column), F.lit(max(1, total // parts))) == 0))
+    limits = sorted(r[0] for r in some.distinct().limit(4 * parts).collect())
+    if not limits:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*map(F.lit, limits)), lambda x: x <= F.col(column)))
+
+
 def with_dense_index(df: DataFrame, id_col: str, name: str = "index") -> DataFrame:
     """Rows numbered from 0 in order of ``id_col``, without bringing them into one task.
 
     Rows are counted in ranges of the id first; a row's number is its place
-    within its range plus the rows of the ranges before. The table of ranges
-    has ``spark.sql.shuffle.partitions`` rows at most.
+    within its range plus the rows of the ranges before.
     """
-    from pyspark.sql import Window
-
-    parts = df.repartitionByRange(F.col(id_col)).withColumn("_part", F.spark_partition_id())
-    counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    ranged = df.withColumn("_part", range_part(df, id_col))
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
+    before = counts.select("_part", (F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_part")) - F.col("_n")).alias("_before"))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(id_col)) - 1
-    return parts.withColumn("_within", within).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_within")).drop("_part", "_before", "_within")
+    return ranged.withColumn("_within", within).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_within")).drop("_part", "_before", "_within")
 
 
 def filter_labels(df: DataFrame, filters: dict[str, list]) -> DataFrame:

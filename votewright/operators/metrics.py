@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.labels import filter_labels
+from ..functions.labels import filter_labels, range_part
 
 METRICS: dict[str, list[str]] = {
     "accuracy": ["golds", "preds"],
@@ -82,9 +82,9 @@ def roc_auc(df: DataFrame, gold: str, probs: str, *by: str) -> DataFrame:
         raise ValueError("roc_auc needs two classes")
     score = F.get(probs, F.lit(1))
     counts = df.groupBy(*by, score.alias("score")).agg(F.count_if(F.col(gold) == 1).alias("pos"), F.count_if(F.col(gold) != 1).alias("neg"))
-    parts = counts.repartitionByRange(F.col("score")).withColumn("part", F.spark_partition_id())
+    parts = counts.withColumn("part", range_part(counts, "score"))
     sums = parts.groupBy(*by, "part").agg(F.sum("neg").alias("part_neg"))
-    over = Window.partitionBy(*by).orderBy("part") if by else Window.orderBy("part")
+    over = Window.partitionBy(*by, F.lit(1)).orderBy("part")
     before = sums.select(*by, "part", (F.sum("part_neg").over(over) - F.col("part_neg")).alias("before"))  # a row for each range
     within = Window.partitionBy(*by, "part").orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = parts.withColumn("below", F.sum("neg").over(within) - F.col("neg")).join(before, [*by, "part"])
