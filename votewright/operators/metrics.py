@@ -100,11 +100,14 @@ def metric_score(df: DataFrame, metric: str, gold: str | None = None, pred: str
     missing = [x for x in METRICS[metric] if given[x] is None]
     if missing:
         raise ValueError(f"The metric you provided ({metric}) requires inputs {missing}")
-    df = filter_labels(df, filters or {})
+    filters = dict(filters or {})
+    late = {} if metric == "roc_auc" else {c: filters.pop(c) for c in (gold, pred) if c in filters}  # left out of the cells, not of the rows
+    df = filter_labels(df, filters)
     if metric == "roc_auc":
         row = roc_auc(df, gold, probs).first()
         return float("nan") if row is None or row.auc is None else row.auc
     cells = [(r.gold, r.pred, r.n) for r in confusion(df.withColumn("_gold", F.col(gold) if gold else F.lit(0)), "_gold", pred).collect()]
+    cells = [c for c in cells if c[0] not in late.get(gold, ()) and c[1] not in late.get(pred, ())]
     return float(from_confusion(cells, metric, **kw))
 
 
