@@ -34,3 +34,9 @@ def test_pipeline(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).drop("sequence_id", "offset")
     assert got.exceptAll(frame.drop("sequence_id", "offset")).isEmpty() and got.count() == frame.count()
     assert os.listdir(tmp_path)
+
+
+def test_language_stage_without_labels(spark, tmp_path):
+    docs = [(1, "a clean text", None), (2, "12 34", None), (3, None, None), (4, "слово", None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, frame, str(tmp_path)).collect()} == {1, 4}

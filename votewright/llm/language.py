@@ -164,12 +164,14 @@ def predict(batches: Iterator[pa.RecordBatch], model: Frozen | None, keep_text:
         n = batch.num_rows
         names = np.full(n, UNDETERMINED, dtype=object)
         scores = np.zeros(n)
+        lettered = np.zeros(n, dtype=bool)
         for i, j in common.chunks(off):
             part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
             letters = np.concatenate([[0], np.cumsum(LETTER[part])])
             has = letters[o[1:]] > letters[o[:-1]]
             for r in np.flatnonzero(~has & (o[1:] > o[:-1])):
                 has[r] = any(map(str.isalpha, part[o[r] : o[r + 1]].tobytes().decode()))
+            lettered[i:j] = has
             if model is None or not has.any():
                 continue
             padded, _, weight, owner = laid_out(part, o)
@@ -180,8 +182,11 @@ def predict(batches: Iterator[pa.RecordBatch], model: Frozen | None, keep_text:
             names[i:j] = np.where(has, np.array(model.classes, dtype=object)[best], UNDETERMINED)
             scores[i:j] = np.where(has, np.clip(total[np.arange(j - i), best], 0, 1), 0.0)
         arrays = [pa.array(names.tolist(), pa.string()), pa.array(scores)]
+        added = ["lang_pred", "score"]
+        if keep_text:
+            arrays, added = [*arrays, pa.array(lettered)], [*added, "lettered"]
         kept = [c for c in batch.schema.names if c != "text" or keep_text]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *arrays], names=[*kept, "lang_pred", "score"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *arrays], names=[*kept, *added])
 
 
 def sample(documents: DataFrame, rows: int = TRAIN_ROWS, windows: int = TRAIN_WINDOWS) -> list[tuple[str, list[str]]]:
@@ -231,11 +236,14 @@ def identify(documents: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
 
 
 def accepted(documents: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """``documents`` but for those whose language is undetermined: no text, or no letter in it."""
+    """``documents`` but for those whose language cannot be told: no text, or no letter in it.
+
+    A lettered text stays whatever the network says of it, and where no label was there to learn from.
+    """
     frame = documents.withColumn("text", F.col("text").cast("string"))
     sent = documents.sparkSession.sparkContext.broadcast(train(sample(frame, rows)))
     names = documents.columns
     inner = frame.select(*(F.col(c).alias(c if c == "text" else f"in_{c}") for c in names))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema)
-    told = inner.mapInArrow(lambda batches: predict(batches, sent.value, True), f"{fields}, lang_pred string, score double")
-    return told.where(F.col("lang_pred") != UNDETERMINED).select(*(F.col(c if c == "text" else f"in_{c}").alias(c) for c in names))
+    told = inner.mapInArrow(lambda batches: predict(batches, sent.value, True), f"{fields}, lang_pred string, score double, lettered boolean")
+    return told.where("lettered").select(*(F.col(c if c == "text" else f"in_{c}").alias(c) for c in names))
