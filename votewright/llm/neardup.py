@@ -17,8 +17,9 @@ apart is verified too, so nothing that banding found is lost and a large group
 of copies costs a few pairs a member.
 
 Defined results: documents without words are classes of their own; rows with a
-null doc_id are compared with none and get a null class; rows that repeat a
-doc_id and text fall into one class; the class id is its smallest doc_id.
+null doc_id are compared with none and get a null class (but are compared where
+copies are removed, see ``without_near_copies``); rows that repeat a doc_id and
+text fall into one class; the class id is its smallest doc_id.
 """
 
 from __future__ import annotations
@@ -173,8 +174,8 @@ def check_pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator
 def verified(pairs: DataFrame, reps: DataFrame, documents: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of nodes whose texts reach ``threshold``."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node")
-    texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
-    texts = texts.join(needed.select("node", F.col("rep").alias("doc_id"), "mark"), ["doc_id", "mark"])  # the mark tells texts of a repeated doc_id apart
+    texts = documents.select("doc_id", *marked())
+    texts = texts.join(needed.select("node", "rep", F.col("mark").alias("rep_mark")), F.expr("doc_id <=> rep and mark = rep_mark"))  # the mark tells texts of a repeated doc_id apart
     texts = texts.groupBy("node").agg(F.max("text").alias("text"))
     joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(lambda batches: check_pairs(batches, threshold), "a binary, b binary")
@@ -194,15 +195,24 @@ def crowded(apart: DataFrame) -> bool:
     return bool(members) and pairs > CROWD * members
 
 
-def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id and class_size (documents of the class) of each document."""
-    rows = documents.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+def signed_rows(documents: DataFrame) -> DataFrame:
+    """doc_id, mark (the text's hash), node (a digest of its words) and bands of each row."""
+    rows = documents.select("doc_id", *marked())
     kind = rows.schema["doc_id"].dataType.simpleString()
-    signed = common.checkpointed(rows.where("doc_id is not null").mapInArrow(sign, f"doc_id {kind}, mark long, node binary, bands array<long>"))
+    return common.checkpointed(rows.mapInArrow(sign, f"doc_id {kind}, mark long, node binary, bands array<long>"))
+
+
+def marked() -> list:
+    text = F.col("text").cast("string")
+    return [text.alias("text"), F.xxhash64(text).alias("mark")]
+
+
+def labelled(documents: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """node, its row (rep and mark: the smallest doc_id, null last) and label (its class) of each node with words."""
     worded = signed.where(F.octet_length("node") > 0)
-    reps = worded.groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("r")).select("node", F.col("r.doc_id").alias("rep"), "r.mark")
+    reps = worded.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("r")).select("node", F.col("r.doc_id").alias("rep"), "r.mark")
     chosen = reps.select(F.col("node").alias("rep_node"), "rep", F.col("mark").alias("rep_mark"))
-    keyed = worded.join(chosen, F.expr("node = rep_node and doc_id = rep and mark = rep_mark")).select("node", "bands").dropDuplicates(["node"])
+    keyed = worded.join(chosen, F.expr("node = rep_node and doc_id <=> rep and mark = rep_mark")).select("node", "bands").dropDuplicates(["node"])
     rungs = keyed.select("node", F.explode("bands").alias("code"))
     buckets = rungs.groupBy("code").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = common.checkpointed(rungs.join(buckets, "code").select("code", "node", "pivot"))
@@ -228,17 +238,44 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         more = common.checkpointed(verified(rest, reps, documents, threshold))
         if not more.isEmpty():
             label = components(edges.unionByName(more))
-    nodes = reps.join(label, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
+    return reps.join(label, "node", "left").select("node", "rep", "mark", F.coalesce("label", "node").alias("label"))
+
+
+def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id and class_size (documents of the class) of each document."""
+    known = documents.where("doc_id is not null")
+    signed = signed_rows(known)
+    nodes = labelled(known, signed, threshold)
     least = nodes.groupBy("label").agg(F.min("rep").alias("class_id"))
     named = nodes.join(least, "label").select("node", "class_id")
     sized = signed.select("doc_id", "node").join(named, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     sizes = sized.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
     done = sized.join(sizes, "class_id").select("doc_id", "class_id", "class_size")
-    lone = rows.where("doc_id is null").select("doc_id", F.lit(None).cast(kind).alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    lone = documents.where("doc_id is null").select("doc_id", F.lit(None).cast(kind).alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return done.unionByName(lone)
 
 
 def without_near_copies(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``documents`` with one document, the one with the smallest doc_id, of each class."""
-    gone = classes(documents, threshold).where("doc_id != class_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return documents.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti").select(*documents.columns)
+    """``documents`` with one row of each class: the one with the smallest doc_id, rows without an id last.
+
+    Rows are known by doc_id and the text's hash, and rows with a null doc_id
+    are compared like all others. Of rows equal in both, one stays; so it is
+    for rows without words, which are classes of their own.
+    """
+    signed = signed_rows(documents)
+    nodes = labelled(documents, signed, threshold)
+    least = nodes.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("last"), "rep", "mark")).alias("r"))
+    keepers = least.select(F.col("r.rep").alias("gone_id"), F.col("r.mark").alias("gone_mark"))
+    rows = signed.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("node") > 0).alias("worded"))
+    kept = F.expr("doc_id <=> gone_id and mark = gone_mark")
+    gone = common.checkpointed(rows.where("worded").join(keepers, kept, "left_anti").select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")))
+    repeated = common.checkpointed(rows.where("n > 1").select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")))
+    texts = F.xxhash64(F.col("text").cast("string"))
+    same = (F.col("doc_id").eqNullSafe(F.col("gone_id"))) & (texts == F.col("gone_mark"))
+    stay = documents.join(gone, same, "left_anti")
+    if repeated.isEmpty():
+        return stay.select(*documents.columns)
+    whole = F.struct(*(F.col(c) for c in documents.columns))
+    once = stay.join(repeated, same, "left_semi").groupBy("doc_id", texts.alias("gone_mark")).agg(F.min_by(whole, F.xxhash64(whole)).alias("whole")).select("whole.*")
+    return stay.join(repeated, same, "left_anti").select(*documents.columns).unionByName(once)
