@@ -40,3 +40,13 @@ def test_language_stage_without_labels(spark, tmp_path):
     docs = [(1, "a clean text", None), (2, "12 34", None), (3, None, None), (4, "слово", None)]
     frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
     assert {r.doc_id for r in corpus_pipeline.language_id(spark, frame, str(tmp_path)).collect()} == {1, 4}
+
+
+def test_emptied_copies_go(spark, tmp_path):
+    copied = " ".join(f"w{k}" for k in range(40))
+    docs = [(i, copied, "en") for i in range(6)] + [(10, "--", "en"), (11, "--", "en"), (12, "own words here", "en"), (13, None, "en"), (14, None, "en")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    edited = corpus_pipeline.line_dedup(spark, frame, str(tmp_path))
+    assert {r.doc_id for r in edited.where("text = ''").collect()} == {1, 2, 3, 4, 5}
+    # of the emptied copies one stays, as of the other equal texts without words
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, edited, str(tmp_path)).collect()) == [0, 1, 10, 12, 13, 14]

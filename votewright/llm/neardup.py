@@ -260,8 +260,9 @@ def without_near_copies(documents: DataFrame, threshold: float = THRESHOLD) -> D
     """``documents`` with one row of each class: the one with the smallest doc_id, rows without an id last.
 
     Rows are known by doc_id and the text's hash, and rows with a null doc_id
-    are compared like all others. Of rows equal in both, one stays; so it is
-    for rows without words, which are classes of their own.
+    are compared like all others. Of rows equal in both, one stays. Rows whose
+    texts are equal but have no words (as line dedup leaves copies) are one
+    class here; null texts are equal to none of another doc_id.
     """
     signed = signed_rows(documents)
     nodes = labelled(documents, signed, threshold)
@@ -269,7 +270,10 @@ def without_near_copies(documents: DataFrame, threshold: float = THRESHOLD) -> D
     keepers = least.select(F.col("r.rep").alias("gone_id"), F.col("r.mark").alias("gone_mark"))
     rows = signed.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("node") > 0).alias("worded"))
     kept = F.expr("doc_id <=> gone_id and mark = gone_mark")
-    gone = common.checkpointed(rows.where("worded").join(keepers, kept, "left_anti").select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")))
+    told = rows.where(F.col("mark") != F.xxhash64(F.lit(None).cast("string")))
+    wordless = told.where("not worded").groupBy("mark").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")).alias("r"))
+    keepers = keepers.unionByName(wordless.select(F.col("r.doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")))
+    gone = common.checkpointed(told.join(keepers, kept, "left_anti").select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")))
     repeated = common.checkpointed(rows.where("n > 1").select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")))
     texts = F.xxhash64(F.col("text").cast("string"))
     same = (F.col("doc_id").eqNullSafe(F.col("gone_id"))) & (texts == F.col("gone_mark"))
