@@ -81,3 +81,38 @@ def test_every_keyword_passes_the_prefilter():
         re.compile(regex)
         plain = regex.replace("[cs]e", "ce").replace("(?:", "").replace(")?", "").replace(")", "")
         assert any(s in keyword or s in plain for s in licenses.STEMS) or short.search(keyword) or short.search(plain), keyword
+
+
+def shortest(parsed):
+    """A shortest text that a parsed regex matches."""
+    out = ""
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(value)
+        elif name == "ANY":
+            out += "a"
+        elif name == "IN":
+            out += chr(value[0][1]) if str(value[0][0]) == "LITERAL" else "a"
+        elif name == "BRANCH":
+            out += shortest(value[1][0])
+        elif name == "SUBPATTERN":
+            out += shortest(value[3])
+        else:
+            assert name == "MAX_REPEAT", name
+            out += shortest(value[2]) * value[0]
+    return out
+
+
+def test_every_rule_finds_its_sample(spark):
+    table = license_rules.rules()
+    samples = {n: shortest(re._parser.parse(x)) for n, _, _, _, x in table}
+    for n, label, _, keyword, _ in table:
+        assert keyword in f" {samples[n]} ", (label, keyword, samples[n])
+    x11 = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software " + "and so on " * 60
+    x11 += "Except as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise."
+    rows = [*samples.items(), (-1, x11), (-2, "GNU General Public License, version 1")]
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[-1] == ["mit", "x11"] and got[-2] == ["gpl-1.0"]
+    missed = [(label, samples[n], got[n]) for n, label, _, _, _ in table if label not in got[n]]
+    assert not missed

@@ -17,7 +17,7 @@ mit | expat | expat license
 ! mit-0 | mit no attribution | mit no attribution license
 mit-0 | mit 0 | mit 0 license
 ! x11 | x11 license | (?:under|the) (?:the )?x11 license
-x11 | x consortium | permission is hereby granted .{0,80}x consortium
+x11 | x consortium | (?:the )?name of the x consortium shall not be used in advertising
 ! isc | isc license | (?:under|the) (?:the )?isc license
 ! isc | permission to use copy modify and | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
 ? isc | isc | license isc
@@ -66,7 +66,7 @@ gpl-2.0 | gplv2 | gplv2
 gpl-2.0-or-later | gpl 2 0 or later | gpl 2 0 or later
 gpl-2.0-only | gpl 2 0 only | gpl 2 0 only
 gpl-2.0-classpath | classpath exception | (?:with )?classpath exception
-gpl-1.0 | gpl | gnu general public license version 1(?: 0)?
+gpl-1.0 | gnu general public license | gnu general public license version 1(?: 0)?
 gpl | gnu general public license | gnu general public license
 ? gpl | gnu gpl | gnu gpl
 ? gpl | gpl | gpl (?:licensed|license)
