@@ -10,10 +10,10 @@ anchor for 35 bytes; each stands for the run of string starts it was chosen by.
    runs differ are the edges of repeats; their bytes are fetched.
 2. In each shard the suffixes that begin at those anchors are sorted, common
    prefix lengths taken, and the tree of common-prefix intervals is walked by a
-   stack scan. Within an interval, occurrences are told apart by what stands to
-   their left; an interval whose left sides differ is a maximal repeat. Each
-   occurrence is covered as far as it extends, both ways, together with some
-   earlier one. All occurrences of an interval are compared, not neighbours.
+   stack scan. Each occurrence is covered as far as it extends, both ways,
+   together with some earlier one: the best left agreement stands in for the
+   test that left sides differ (``maximal_repeats``, which is not on this path).
+   All occurrences of an interval are compared, not neighbours.
 3. Anchors with more than ``HOT`` differing runs go another, equally exact way:
    the hashes of their strings are dealt instead, earliest first.
 4. Covered spans are merged by document and the other bytes kept.
