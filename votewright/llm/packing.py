@@ -5,8 +5,8 @@
    leave the pass; they are written to the checkpoint folder.
 2. The histogram of piece lengths (at most ``BINS`` classes) comes to the driver.
    Combinations of at most ``DEPTH`` length classes longer than ``EXACT`` that
-   fill a window exactly are enumerated (shorter pieces are packed greedily), their repeat counts solved by non-negative least squares and
-   rounded down; what the rounded counts leave over is packed greedily, longest
+   fill a window exactly are enumerated (shorter pieces are packed greedily),
+   their repeat counts solved by non-negative least squares and rounded down; what the rounded counts leave over is packed greedily, longest
    first, again as patterns with repeat counts, so driver work depends on the
    number of classes and never on the number of documents.
 3. A piece's rank within its class picks its sequence. Ranks are counted within
