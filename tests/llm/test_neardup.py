@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from votewright.llm import neardup
 from votewright.llm.components import components
@@ -68,7 +69,7 @@ def test_components_of_a_long_chain(spark):
     assert set(got.values()) == {b"\x00", b"\xf0"} and len(got) == 64
 
 
-def test_crowded_buckets_give_the_same_classes(spark, monkeypatch):
+def test_small_blocks_and_many_stars_give_the_same_classes(spark, monkeypatch):
     rng = random.Random(11)
     base = [f"w{k}" for k in range(60)]
     docs = []
@@ -79,9 +80,25 @@ def test_crowded_buckets_give_the_same_classes(spark, monkeypatch):
         docs.append((i, " ".join(w)))
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     plain = {r.doc_id: r.class_id for r in neardup.classes(frame).collect()}
-    monkeypatch.setattr(neardup, "CROWD", 0)
-    monkeypatch.setattr(neardup, "TURNS", 2)
+    monkeypatch.setattr(neardup, "BLOCK_WORDS", 300)
     assert {r.doc_id: r.class_id for r in neardup.classes(frame).collect()} == plain
+    # links that no hub has: near copies in a chain, each 0.8 or more from the next
+    chain = [(i, " ".join([*(f"c{k}" for k in range(4 * i, 4 * i + 60)), "z"])) for i in range(30)]
+    classes = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(chain, "doc_id long, text string")).collect()}
+    want, bags = list(range(30)), [bag(t) for _, t in chain]
+    for i in range(1, 30):
+        if similarity(bags[i], bags[i - 1]) >= 0.8:
+            want[i] = want[i - 1]
+    assert classes == dict(enumerate(want))
+
+
+def test_similarities_are_exact():
+    texts = ["a b c d e f g", "a b c d e f g h", "a b c d e a b c d e a b c d e", "", "a b", None]
+    rows = np.arange(len(texts))
+    bags = neardup.Bags(pa.array(texts))
+    a, b = np.repeat(rows, len(rows)), np.tile(rows, len(rows))
+    want = [similarity(bag(texts[i] or ""), bag(texts[j] or "")) for i, j in zip(a, b, strict=True)]
+    assert np.allclose(bags.similarities(a, b), want)
 
 
 def test_copies_are_removed_by_row(spark):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 import zlib
 
@@ -13,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; a longer single text is a pass of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
+#: Bits of the bitmaps that thin a table before it is joined; they let through more where they fill up, and lose nothing.
+FILTER_BITS = 1 << 22
 
 _RNG = np.random.default_rng(20240607)
 BYTE_CODES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -36,7 +37,8 @@ def powers(n: int, base: np.uint64, name: str) -> np.ndarray:
         have[0] = 1
         have[1:] = base
         have = np.cumprod(have, dtype=np.uint64)
-        _POWERS[name] = have
+        if n <= CHUNK_BYTES:  # those of a longer text are not kept
+            _POWERS[name] = have
     return have[: n + 1]
 
 
@@ -131,6 +133,25 @@ def crc_of(value) -> int:
     return zlib.crc32(str(value).encode())
 
 
+#: The most rows of a narrow table that is broadcast.
+SMALL_ROWS = 300_000
+#: Bytes of an Arrow batch that a Python worker is sent.
+BATCH_BYTES = 4 << 20
+LAST_ID = (1 << 63) - 1
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches end at ``BATCH_BYTES``, so that long texts do not add up in a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def order_id(documents: DataFrame) -> Column:
+    """doc_id as a value that orders rows, null last: whole numbers as long, all other kinds as text."""
+    if documents.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long", "void"):
+        return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit(chr(0x10FFFF)))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, or of the context; one beneath the warehouse where neither is set."""
     context = spark.sparkContext
@@ -140,9 +161,9 @@ def shared_folder(spark: SparkSession) -> str:
     return named or context._jsc.sc().getCheckpointDir().get()
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
+def checkpoint_folder(spark: SparkSession, name: str = "pipeline") -> str:
     """A new folder's name within the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
@@ -155,10 +176,54 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class Store:
+    """Tables written as Parquet to the shared folder, so that a lost executor costs no more than the work since the last one.
+
+    The shuffle files of a plan go as soon as its table stands. ``drop`` deletes
+    tables that are no longer needed; those of the returned, still lazy result stay.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.paths = spark, checkpoint_folder(spark, name), {}
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{len(self.paths)}-{name}"
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[out] = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        for table in tables:
+            path = hadoop(self.paths[table])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def thinned(table: DataFrame, column: Column, wanted: DataFrame, key: Column) -> DataFrame:
+    """The rows of ``table`` whose ``column`` may be among the values of ``key`` in ``wanted``: all that are, and few others.
+
+    They are told by a broadcast bitmap of ``FILTER_BITS`` bits, whatever the
+    input's size; where it is full, all rows pass.
+    """
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_at"))
+    words = wanted.select(at(key).alias("_at")).groupBy(F.shiftright("_at", 6).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    mine = at(column)
+    return table.join(F.broadcast(words), F.shiftright(mine, 6) == F.col("_word")).where(F.getbit("_bits", mine.bitwiseAND(F.lit(63))) == 1).drop("_word", "_bits")
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A written, narrow ``table``, to be broadcast in a join if it has at most ``SMALL_ROWS`` rows; else the join shuffles."""
+    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

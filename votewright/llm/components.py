@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import Store
 
 
 def _print(edges: DataFrame) -> tuple:
     return tuple(edges.select(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, store: Store | None = None) -> DataFrame:
     """node, label of every node of ``edges`` (a, b); the label is the component's smallest node.
 
     Large-star and small-star steps (each a minimum per node, combined before
     its shuffle, and a join) until nothing changes; every round is written to
-    the checkpoint folder, so a lost executor costs one round.
+    the shared folder, so a lost executor costs one round.
     """
-    edges = checkpointed(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    store = store or Store(edges.sparkSession, "components")
+    edges = store.save(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = _print(edges)
     while seen[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -28,7 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lowest.select("a", F.col("m").alias("b"))).where("a != b").distinct()
-        edges = checkpointed(small)
+        past, edges = edges, store.save(small, "edges")
+        store.drop(past)
         now = _print(edges)
         if now == seen:
             break

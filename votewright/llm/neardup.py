@@ -10,16 +10,26 @@ Points later than a document's bound on its slowest register are never drawn.
 
 ``BANDS`` bands of ``ROWS`` registers: two documents with similarity 0.8 meet
 in a band but for 2 in 100,000 cases. Equal word sequences are one node from
-the start. In each bucket all nodes are linked to the smallest first (and, in
-crowded buckets, to further centres by turns); pairs are verified exactly on
-multisets; components are formed, and then every pair of a bucket that is still
-apart is verified too, so nothing that banding found is lost and a large group
-of copies costs a few pairs a member.
-
-Defined results: documents without words are classes of their own; rows with a
-null doc_id are compared with none and get a null class (but are compared where
-copies are removed, see ``without_near_copies``); rows that repeat a doc_id and
-text fall into one class; the class id is its smallest doc_id.
+the start. In each bucket every node is first compared with the bucket's hub,
+the node that meets most others in all buckets, exactly on multisets; the
+components of the links found are formed. Then the pairs of a bucket that are
+still apart are compared, but for those that cannot reach the threshold: the
+distances to the hub differ by more than the threshold allows (1 - similarity is
+a metric), the sizes do, or sketches of one bit a register differ more than
+they do in 1 of 100,000 cases at the threshold. So a large group of copies costs
+one comparison a member.
+
+Comparisons are dealt in blocks of bounded size: a text goes once to each block
+that needs it, and a hub that a third of all documents resemble has as many
+blocks as it takes.
+
+Defined results: documents without words (null and empty texts too) are classes
+of their own; texts are taken whole, however long; rows with a null doc_id are
+compared with none and get a null class (but are compared where copies are
+removed, see ``without_near_copies``); rows that repeat a doc_id and text fall
+into one class; the class id is its smallest doc_id, so ties do not matter. An
+empty table gives no rows. Further columns are ignored by ``classes`` and kept
+by ``without_near_copies``, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,8 +51,10 @@ BANDS, ROWS = 28, 5
 REGISTERS = BANDS * ROWS
 #: A register of a document is empty after the first bound with a chance of e ** -MARGIN / REGISTERS.
 MARGIN = 6.0
-#: More stars, each with another centre, are tried while buckets hold so many unlinked pairs a member, at most so often.
-CROWD, TURNS = 8, 6
+#: Registers of which a sketch keeps a bit, and the most bits that may differ at the threshold: 4.5 deviations above the mean.
+SKETCH = 128
+#: Words of the texts compared in one block, about.
+BLOCK_WORDS = 500_000
 STEP = np.uint64(0xA0761D6478BD642F)
 
 
@@ -91,19 +103,23 @@ def signatures(h: np.ndarray, row: np.ndarray, w: np.ndarray, n: int, registers:
     return out.view(np.uint64)
 
 
+def times(a: np.uint64, k: int) -> np.uint64:
+    return np.uint64(int(a) * k & (1 << 64) - 1)
+
+
 def _points(h: np.ndarray, row: np.ndarray, w: np.ndarray, bound: np.ndarray, out: np.ndarray) -> None:
     registers = out.shape[1]
     flat = out.reshape(-1)
     low, block = 0, 0
     while len(h):
         size = max(1, low)
-        seed = common.mix(h + np.uint64(block + 1) * STEP)
+        seed = common.mix(h + times(STEP, block + 1))
         owner, weight, limit = row, w, bound[row]
         time = np.zeros(len(h))
         k = 0
         while len(seed):
             k += 1
-            draw = common.mix(seed + np.uint64(k) * common.PRIME)
+            draw = common.mix(seed + times(common.PRIME, k))
             time = time - np.log(((draw >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53) / (registers * size)
             live = time <= limit
             seed, owner, weight, limit, time, draw = (x[live] for x in (seed, owner, weight, limit, time, draw))
@@ -129,126 +145,186 @@ def band_codes(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return code.view(np.int64)
 
 
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """The lowest bits of mixed registers, 64 to a number."""
+    bits = (common.mix(sig[:, :SKETCH]) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits, axis=1).view(">i8").astype(np.int64)
+
+
+def sketch_limit(threshold: float, registers: int = SKETCH) -> int:
+    p = (1 - threshold) / 2
+    return int(registers * p + 4.5 * (registers * p * (1 - p)) ** 0.5)
+
+
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = common.utf8(batch.column("text"))
-        nodes, codes = [], []
+        nodes, codes, bits, sizes = [], [], [np.zeros((0, SKETCH // 64), np.int64)], [np.zeros(0, np.int64)]
         for i, j in common.chunks(off):
             h, row, digests = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i])
-            codes.append(band_codes(signatures(*weights(h, row), j - i)))
+            sig = signatures(*weights(h, row), j - i)
+            codes.append(band_codes(sig))
+            bits.append(sketches(sig))
+            sizes.append(np.bincount(row, minlength=j - i))
             nodes += digests
         flat = np.concatenate(codes).reshape(-1) if codes else np.zeros(0, np.int64)
         bands = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * BANDS, pa.int32()), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(nodes, pa.binary()), bands], names=["doc_id", "mark", "node", "bands"])
-
-
-def overlap(left: list, right: list) -> np.ndarray:
-    """Weighted Jaccard similarity of each pair of texts, exactly, by their shingle multisets."""
-    def keyed(texts):
-        data, off = common.utf8(pa.array(texts, pa.large_string()))
-        h, row, _ = shingles(data, off)
-        order = np.lexsort((h, row))
-        h, row = h[order], row[order]
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-        at = np.flatnonzero(new)
-        place = np.arange(len(h)) - np.repeat(at, np.diff(np.append(at, len(h))))
-        return common.mix(h + place.astype(np.uint64) * STEP) + row.astype(np.uint64) * common.PRIME, row
-
-    (a, ra), (b, rb) = keyed(left), keyed(right)
-    both = np.intersect1d(a, b, assume_unique=True, return_indices=True)[1]
-    n = len(left)
-    common_, size = np.bincount(ra[both], minlength=n), np.bincount(ra, minlength=n) + np.bincount(rb, minlength=n)
-    return common_ / np.maximum(size - common_, 1)
-
-
-def check_pairs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes = np.diff(common.utf8(batch.column("text_a"))[1]) + np.diff(common.utf8(batch.column("text_b"))[1])
-        for i, j in common.chunks(np.concatenate([[0], np.cumsum(sizes)]), 2 * common.CHUNK_BYTES):
-            part = batch.slice(i, j - i)
-            near = overlap(part.column("text_a").to_pylist(), part.column("text_b").to_pylist()) >= threshold
-            yield part.select(["a", "b"]).filter(pa.array(near))
-
-
-def verified(pairs: DataFrame, reps: DataFrame, documents: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts reach ``threshold``."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node")
-    texts = documents.select("doc_id", *marked())
-    texts = texts.join(needed.select("node", "rep", F.col("mark").alias("rep_mark")), F.expr("doc_id <=> rep and mark = rep_mark"))  # the mark tells texts of a repeated doc_id apart
-    texts = texts.groupBy("node").agg(F.max("text").alias("text"))
-    joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(lambda batches: check_pairs(batches, threshold), "a binary, b binary")
-
-
-def still_apart(members: DataFrame, label: DataFrame) -> DataFrame:
-    """code, node, label of the buckets that hold nodes of several components."""
-    held = members.join(label, "node", "left").select("code", "node", F.coalesce("label", "node").alias("label"))
-    mixed = held.groupBy("code").agg((F.min("label") != F.max("label")).alias("apart")).where("apart")
-    return held.join(mixed, "code", "left_semi")
+        sketch = np.concatenate(bits)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("mark"), pa.array(nodes, pa.binary()), bands, pa.array(sketch[:, 0]), pa.array(sketch[:, 1]), pa.array(np.concatenate(sizes))],
+            names=["doc_id", "mark", "node", "bands", "bits0", "bits1", "size"],
+        )
+
 
+class Bags:
+    """The shingle multisets of texts: numbers that stand for (shingle, how often it came before)."""
+
+    def __init__(self, texts: pa.Array):
+        data, off = common.utf8(texts)
+        keys, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for i, j in common.chunks(off):
+            h, row, _ = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
+            new = np.ones(len(h), dtype=bool)
+            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+            at = np.flatnonzero(new)
+            place = np.arange(len(h)) - np.repeat(at, np.diff(np.append(at, len(h))))
+            keys.append(common.mix(h + place.astype(np.uint64) * STEP))
+            sizes.append(np.bincount(row, minlength=j - i))
+        kinds, self.numbers = np.unique(np.concatenate(keys), return_inverse=True)
+        self.sizes = np.concatenate(sizes)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.mark = np.zeros(len(kinds), dtype=bool)
+
+    def similarities(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The weighted Jaccard similarity of each pair of rows, exactly."""
+        out = np.zeros(len(a))
+        order = np.argsort(b, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(b[order])) + 1) if len(order) else []:
+            one = int(b[part[0]])
+            mine = self.numbers[self.starts[one] : self.starts[one] + self.sizes[one]]
+            self.mark[mine] = True
+            n = self.sizes[a[part]]
+            hit = np.concatenate([[0], np.cumsum(self.mark[self.numbers[common.ranges(self.starts[a[part]], n)]])])
+            ends = np.cumsum(n)
+            both = hit[ends] - hit[ends - n]
+            out[part] = both / np.maximum(n + len(mine) - both, 1)
+            self.mark[mine] = False
+        return out
+
+
+def named_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node and text of the texts with words; of equal nodes in a task the first."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        data, off = common.utf8(batch.column("text"))
+        nodes, keep = [], []
+        for i, j in common.chunks(off):
+            for r, x in enumerate(shingles(data[off[i] : off[j]], off[i : j + 1] - off[i])[2], i):
+                if x and x not in seen:
+                    seen.add(x)
+                    nodes.append(x)
+                    keep.append(r)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), batch.column("text").take(pa.array(keep, pa.int64()))], names=["node", "text"])
 
-def crowded(apart: DataFrame) -> bool:
-    """Whether the pairs of different components within buckets are more than ``CROWD`` times their members."""
-    sizes = apart.groupBy("code", "label").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("code").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"))
-    pairs, members = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
-    return bool(members) and pairs > CROWD * members
 
+def compare(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+    """a, b and sim of a block's pairs."""
+    place = {x: k for k, x in enumerate(texts.column("node").to_pylist())}
+    a, b = (np.array([place[x] for x in pairs.column(c).to_pylist()], np.int64) for c in ("a", "b"))
+    sim = Bags(texts.column("text")).similarities(a, b)
+    return pa.table([pairs.column("a"), pairs.column("b"), pa.array(sim)], names=["a", "b", "sim"])
 
-def signed_rows(documents: DataFrame) -> DataFrame:
-    """doc_id, mark (the text's hash), node (a digest of its words) and bands of each row."""
-    rows = documents.select("doc_id", *marked())
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return common.checkpointed(rows.mapInArrow(sign, f"doc_id {kind}, mark long, node binary, bands array<long>"))
 
+def compared(pairs: DataFrame, texts: DataFrame, store: common.Store, star: bool) -> DataFrame:
+    """``pairs`` (a, b, hub, words) with sim instead of hub and words; ``star``: b is the hub of each pair.
 
-def marked() -> list:
+    The pairs of a hub form a matrix that is cut into blocks of about BLOCK_WORDS words; small hubs share blocks.
+    """
+    sums = pairs.groupBy("hub").agg(F.sum("words").alias("all"))
+    total = pairs.agg(F.sum("words")).first()[0] or 0
+    blocks = int(total // BLOCK_WORDS) + 1
+    share = F.col("all") / F.lit(BLOCK_WORDS)
+    cuts = F.ceil(share if star else F.sqrt(share)).cast("long")
+    cell = lambda c: F.pmod(F.xxhash64(c), cuts)
+    block = F.pmod(F.xxhash64("hub", cell("a"), F.lit(0) if star else cell("b")), F.lit(blocks)).cast("int")
+    dealt = store.save(pairs.join(sums, "hub").select("a", "b", block.alias("block")), "dealt")
+    needed = store.save(dealt.select(F.col("block").alias("slot"), F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
+    needed = texts.join(common.small(needed), "node")
+    return dealt.groupBy("block").cogroup(needed.groupBy("slot")).applyInArrow(compare, "a binary, b binary, sim double")
+
+
+def marked(documents: DataFrame) -> DataFrame:
+    """doc_id, text and mark (the text's hash) of each row."""
     text = F.col("text").cast("string")
-    return [text.alias("text"), F.xxhash64(text).alias("mark")]
+    return documents.select("doc_id", text.alias("text"), F.xxhash64(text).alias("mark"))
 
 
-def labelled(documents: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+def signed_rows(documents: DataFrame, store: common.Store) -> DataFrame:
+    """doc_id, mark, node (a digest of the text's words), bands, sketch and size (shingles) of each row."""
+    common.small_batches(documents.sparkSession)
+    rows = marked(documents)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return store.save(rows.mapInArrow(sign, f"doc_id {kind}, mark long, node binary, bands array<long>, bits0 long, bits1 long, size long"), "signed")
+
+
+def labelled(documents: DataFrame, signed: DataFrame, store: common.Store, threshold: float) -> DataFrame:
     """node, its row (rep and mark: the smallest doc_id, null last) and label (its class) of each node with words."""
     worded = signed.where(F.octet_length("node") > 0)
-    reps = worded.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("r")).select("node", F.col("r.doc_id").alias("rep"), "r.mark")
-    chosen = reps.select(F.col("node").alias("rep_node"), "rep", F.col("mark").alias("rep_mark"))
-    keyed = worded.join(chosen, F.expr("node = rep_node and doc_id <=> rep and mark = rep_mark")).select("node", "bands").dropDuplicates(["node"])
-    rungs = keyed.select("node", F.explode("bands").alias("code"))
-    buckets = rungs.groupBy("code").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = common.checkpointed(rungs.join(buckets, "code").select("code", "node", "pivot"))
-    stars = members.where("node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    edges = common.checkpointed(verified(stars, reps, documents, threshold))
-    label = components(edges)
-    tested = stars
-    for turn in range(TURNS + 1):
-        apart = common.checkpointed(still_apart(members, label))
-        if turn == TURNS or not crowded(apart):
-            break
-        chosen = apart.groupBy("code").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "label")).alias("p")).select("code", F.col("p.node").alias("pivot"), F.col("p.label").alias("pl"))
-        star = apart.join(chosen, "code").where("label != pl").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
-        star = common.checkpointed(star.join(tested, ["a", "b"], "left_anti"))
-        tested = tested.unionByName(star)
-        edges = common.checkpointed(edges.unionByName(verified(star, reps, documents, threshold)))
-        label = components(edges)
-    left = apart.select("code", F.col("node").alias("a"), F.col("label").alias("la"))
-    right = apart.select("code", F.col("node").alias("b"), F.col("label").alias("lb"))
-    rest = left.join(right, "code").where("a > b and la != lb").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-    rest = common.checkpointed(rest)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("r")
+    kept = worded.groupBy("node").agg(least, *(F.first(c).alias(c) for c in ("bands", "bits0", "bits1", "size")))
+    nodes = store.save(kept.select("node", F.col("r.doc_id").alias("rep"), "r.mark", "bands", "bits0", "bits1", "size"), "nodes")
+    rungs = nodes.select("node", "bits0", "bits1", "size", F.explode("bands").alias("code"))
+    sizes = store.save(rungs.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    members = store.save(common.thinned(rungs, F.col("code"), sizes, F.col("code")).join(sizes, "code"), "members")
+    degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
+    hubs = members.join(degree, "node").groupBy("code").agg(F.max(F.struct("degree", "node", "size")).alias("h")).select("code", F.col("h.node").alias("hub"), F.col("h.size").alias("hub_size"))
+    cells = store.save(members.join(hubs, "code"), "cells")
+    stars = cells.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"), "hub", (F.col("size") + F.col("hub_size")).alias("words")).distinct()
+    stars = store.save(stars, "stars")
+
+    reps = nodes.join(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select(F.struct("rep", "mark").alias("at"))
+    kept = common.thinned(marked(documents), F.struct(F.col("doc_id").alias("rep"), "mark"), store.save(reps, "reps"), F.col("at"))
+    texts = store.save(kept.select("text").mapInArrow(named_texts, "node binary, text string"), "texts")
+
+    scored = store.save(compared(stars, texts, store, True), "scored")
+    links = scored.where(F.col("sim") >= threshold).select("a", "b")
+    label = components(links, store)
+
+    toward = scored.select(F.col("a").alias("node"), F.col("b").alias("hub"), "sim")
+    held = cells.join(label, "node", "left").join(toward, ["node", "hub"], "left")
+    held = held.select("code", "node", "hub", "bits0", "bits1", "size", F.coalesce("label", "node").alias("label"), F.coalesce("sim", F.lit(1.0)).alias("sim"))
+    held = store.save(held, "held")
+    mixed = held.groupBy("code").agg((F.min("label") != F.max("label")).alias("apart")).where("apart")
+    apart = store.save(held.join(mixed, "code", "left_semi"), "apart")
+    store.drop(members, sizes, cells, held)
+    named = lambda x: apart.select("code", *(F.col(c).alias(f"{x}_{c}") for c in apart.columns if c != "code"))
+    far = lambda k: F.bit_count(F.col(f"a_{k}").bitwiseXOR(F.col(f"b_{k}")))
+    n, m = F.col("a_size"), F.col("b_size")
+    able = (F.abs(F.col("a_sim") - F.col("b_sim")) <= 1 - threshold + 1e-9) & (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (far("bits0") + far("bits1") <= sketch_limit(threshold))
+    rest = named("a").join(named("b"), "code").where((F.col("a_node") > F.col("b_node")) & (F.col("a_label") != F.col("b_label")) & able)
+    rest = rest.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.min("a_hub").alias("hub"), F.first(n + m).alias("words"))
+    done = scored.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    rest = store.save(rest.join(done, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        more = common.checkpointed(verified(rest, reps, documents, threshold))
+        more = store.save(compared(rest, texts, store, False).where(F.col("sim") >= threshold).select("a", "b"), "more")
         if not more.isEmpty():
-            label = components(edges.unionByName(more))
-    return reps.join(label, "node", "left").select("node", "rep", "mark", F.coalesce("label", "node").alias("label"))
+            label = components(links.unionByName(more), store)
+    store.drop(apart, rest, texts, stars, scored)
+    return nodes.select("node", "rep", "mark").join(label, "node", "left").select("node", "rep", "mark", F.coalesce("label", "node").alias("label"))
 
 
 def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id and class_size (documents of the class) of each document."""
+    store = common.Store(documents.sparkSession, "neardup")
     known = documents.where("doc_id is not null")
-    signed = signed_rows(known)
-    nodes = labelled(known, signed, threshold)
+    signed = signed_rows(known, store)
+    nodes = labelled(known, signed, store, threshold)
     least = nodes.groupBy("label").agg(F.min("rep").alias("class_id"))
     named = nodes.join(least, "label").select("node", "class_id")
     sized = signed.select("doc_id", "node").join(named, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    sized = store.save(sized, "sized")
     sizes = sized.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
     done = sized.join(sizes, "class_id").select("doc_id", "class_id", "class_size")
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -264,22 +340,21 @@ def without_near_copies(documents: DataFrame, threshold: float = THRESHOLD) -> D
     texts are equal but have no words (as line dedup leaves copies) are one
     class here; null texts are equal to none of another doc_id.
     """
-    signed = signed_rows(documents)
-    nodes = labelled(documents, signed, threshold)
+    store = common.Store(documents.sparkSession, "neardup")
+    signed = signed_rows(documents, store)
+    nodes = labelled(documents, signed, store, threshold)
     least = nodes.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull().alias("last"), "rep", "mark")).alias("r"))
     keepers = least.select(F.col("r.rep").alias("gone_id"), F.col("r.mark").alias("gone_mark"))
     rows = signed.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("node") > 0).alias("worded"))
-    kept = F.expr("doc_id <=> gone_id and mark = gone_mark")
     told = rows.where(F.col("mark") != F.xxhash64(F.lit(None).cast("string")))
     wordless = told.where("not worded").groupBy("mark").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id")).alias("r"))
     keepers = keepers.unionByName(wordless.select(F.col("r.doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")))
-    gone = common.checkpointed(told.join(keepers, kept, "left_anti").select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")))
-    repeated = common.checkpointed(rows.where("n > 1").select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")))
-    texts = F.xxhash64(F.col("text").cast("string"))
-    same = (F.col("doc_id").eqNullSafe(F.col("gone_id"))) & (texts == F.col("gone_mark"))
-    stay = documents.join(gone, same, "left_anti")
-    if repeated.isEmpty():
-        return stay.select(*documents.columns)
-    whole = F.struct(*(F.col(c) for c in documents.columns))
-    once = stay.join(repeated, same, "left_semi").groupBy("doc_id", texts.alias("gone_mark")).agg(F.min_by(whole, F.xxhash64(whole)).alias("whole")).select("whole.*")
-    return stay.join(repeated, same, "left_anti").select(*documents.columns).unionByName(once)
+    kept = F.expr("doc_id <=> gone_id and mark = gone_mark")
+    gone = store.save(told.join(keepers, kept, "left_anti").select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")), "gone")
+    repeated = store.save(rows.where("n > 1").select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")), "repeated")
+    whole = documents.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("mark"), F.struct(*documents.columns).alias("whole"))
+    stay = whole.join(gone, kept, "left_anti")
+    if not repeated.isEmpty():
+        once = stay.join(repeated, kept, "left_semi").groupBy("doc_id", "mark").agg(F.min_by("whole", F.xxhash64("whole")).alias("whole"))
+        stay = stay.join(repeated, kept, "left_anti").select("whole").unionByName(once.select("whole"))
+    return stay.select("whole.*")
