@@ -71,3 +71,33 @@ def test_cut(spark):
     docs = docs.union(spark.createDataFrame([(4, "beta or gamma", 13)], docs.schema))
     assert docs.exceptAll(d.cut(docs, bench.limit(0))).isEmpty()
     assert {r.doc_id: (r.text, r.n_chars) for r in d.cut(docs, bench).collect()} == {1: ("A . B", 5), 2: (None, None), 3: ("fine", 4)}
+
+
+def test_index_finds_what_is_found(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "one two three four")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "two three")], "item_id long, text string")
+    frame = d.decontaminate(docs, bench)
+    assert [r.n_hit for r in frame.collect()] == [2]
+    phrases = d.Phrases([(7, "two three")])
+    off = np.array([0, 18])
+    data = np.frombuffer(b"one two three four", np.uint8)
+    assert sum(len(f[0]) for f in d.find(data, off, phrases)[1]) == 1
+    monkeypatch.setattr(d.FMIndex, "search", lambda self, p: (np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)))
+    assert sum(len(f[0]) for f in d.find(data, off, phrases)[1]) == 0
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(4)
+    for size in (1, 2, 30, 500):
+        for top in (1, 2, 50):
+            s = np.append(np.tile(rng.integers(1, top + 1, size), 2), 0)
+            want = sorted(range(len(s)), key=lambda i: s[i:].tolist())
+            assert d.suffix_array(s).tolist() == want
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a one two three b", "x", "y"), (None, None, "z", None)], "doc_id long, text string, items string, in_text string")
+    bench = spark.createDataFrame([(7, "one two three", "q")], "item_id string, text string, spans string")
+    assert {r.text for r in d.cut(docs, bench).collect()} == {"a  b", None}
+    assert d.cut(docs, bench).columns == docs.columns
+    assert d.cut(docs.limit(0), bench).count() == 0

@@ -1,16 +1,19 @@
 """Benchmark decontamination with an FM-index for each shard of the training texts.
 
-A shard is one Arrow batch of documents. Its words are cut down, without loss,
-to the runs in which every two neighbours are neighbours in some test phrase;
-over these an FM-index (Burrows-Wheeler transform in a wavelet matrix, sampled
-suffix positions) is built, all phrases are found by backward search, located,
-and their spans merged. Documents are never shuffled. The test phrases travel
-in blocks of bounded size, one pass over the documents for each block.
+A shard is a run of documents of about ``SHARD_BYTES``. All its words, with a
+break after each document, are one sequence; over it an FM-index
+(Burrows-Wheeler transform in a wavelet matrix, sampled suffix positions) is
+built, all test phrases are found by backward search, located, and their spans
+merged. Documents are never shuffled. The test phrases travel in blocks of
+bounded size, one pass over the documents for each block.
 
 Defined results: a null or wordless text has no words, no hits and the hash of
-the empty string; null, empty or wordless items have no phrase; repeated items
-count once for each item_id; null item_ids take no part; further columns of
-either table are ignored. Rows with a null doc_id are answered like any other.
+the empty string; texts are taken whole, a text longer than a shard is a shard
+of its own; null, empty or wordless items have no phrase; repeated items count
+once for each item_id; null item_ids take no part. Rows with a null doc_id and
+repeated rows are answered like any other, one by one. An empty table gives no
+rows, an empty benchmark no hits. Further columns of either table are ignored
+by ``decontaminate`` and kept by ``cut``, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ WINDOW = 8
 #: UTF-8 bytes of test items in one block; what is sent to the executors at a time.
 BLOCK_BYTES = 8 << 20
 SAMPLE = 8
+#: UTF-8 bytes of the texts of one index.
+SHARD_BYTES = 1 << 20
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>"
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -37,52 +42,58 @@ class Phrases:
     """The distinct windows of a block of items, by length, and whose they are."""
 
     def __init__(self, rows: list[tuple[object, str]], window: int = WINDOW):
-        texts = pa.array([t for _, t in rows], pa.large_string())
-        data, off = common.utf8(texts)
-        data = common.LOWER[data]
-        starts, ends, row = common.word_spans(data, off)
-        codes = common.span_hash(common.prefix_codes(data), starts, ends)
+        codes, row, _, _ = words_of(*common.utf8(pa.array([t for _, t in rows], pa.large_string())))
         self.vocabulary, words = np.unique(codes, return_inverse=True)
         first = np.searchsorted(row, np.arange(len(rows) + 1))
         by_length: dict[int, dict[tuple, set]] = {}
-        pairs = []
         for k, (item, _) in enumerate(rows):
             w = words[first[k] : first[k + 1]]
             if not len(w):
                 continue
             n = min(window, len(w))
-            pairs.append(np.stack([codes[first[k] : first[k + 1] - 1], codes[first[k] + 1 : first[k + 1]]], 1))
             for x in np.lib.stride_tricks.sliding_window_view(w, n):
                 by_length.setdefault(n, {}).setdefault(tuple(x.tolist()), set()).add(item)
-        self.shortest = min(by_length, default=0)
-        both = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.uint64)
-        self.pairs = np.unique(pair_code(both[:, 0], both[:, 1]))
-        self.pair_bits = np.zeros(1 << 22, dtype=bool)
-        self.pair_bits[self.pairs >> np.uint64(42)] = True
-        self.single = np.array(sorted(k[0] for k in by_length.get(1, {})), dtype=np.int64)
         self.windows = {n: np.array(list(d), dtype=np.int64) for n, d in by_length.items()}
         self.items = {n: [sorted(x, key=str) for x in d.values()] for n, d in by_length.items()}
 
 
-def pair_code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return common.mix(a * np.uint64(0xD6E8FEB86659FD93) + b)
+def words_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code, row and number within its row of each word, and the words of each row."""
+    data = common.LOWER[data]
+    starts, ends, row = common.word_spans(data, off)
+    count = np.bincount(row, minlength=len(off) - 1)
+    codes = common.span_hash(common.prefix_codes(data), starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    return codes, row, np.arange(len(row)) - (np.cumsum(count) - count)[row], count
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Suffixes of ``s`` in order, by doubling; the last symbol must be the only smallest."""
-    rank = np.unique(s, return_inverse=True)[1].astype(np.int64)
-    n, k = len(s), 1
+    """Suffixes of ``s`` in order; the last symbol must be the only smallest.
+
+    By doubling, where each round sorts only the suffixes that are still tied.
+    """
+    n = len(s)
+    order = np.argsort(s, kind="stable")
+    start = np.ones(n + 1, dtype=bool)  # where a group of equal prefixes begins
+    start[1:n] = s[order[1:]] != s[order[:-1]]
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.maximum.accumulate(np.where(start[:n], np.arange(n), 0))
+    k = 1
     while True:
-        after = np.zeros(n, dtype=np.int64)
-        after[: n - k] = rank[k:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, dtype=np.int64)
-        ordered = key[order]
-        new[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        rank, k = new, 2 * k
-        if rank.max(initial=0) == n - 1 or k >= n:
-            return np.argsort(rank, kind="stable")
+        tied = np.flatnonzero(~(start[:n] & start[1:]))
+        if not len(tied):
+            return order
+        suffix = order[tied]
+        group = rank[suffix]
+        then = rank[np.minimum(suffix + k, n - 1)]  # the last suffix is never tied, so no tied one ends within k
+        key = group * n + then
+        by = np.argsort(key, kind="stable")
+        suffix, key = suffix[by], key[by]
+        order[tied] = suffix
+        new = np.ones(len(tied), dtype=bool)
+        new[1:] = key[1:] != key[:-1]
+        start[tied] = new
+        rank[suffix] = np.maximum.accumulate(np.where(new, tied, 0))
+        k *= 2
 
 
 class WaveletMatrix:
@@ -94,7 +105,7 @@ class WaveletMatrix:
         for level in range(self.levels - 1, -1, -1):
             bit = (s >> level) & 1
             self.bits.append(bit.astype(np.int8))
-            self.ranks.append(np.concatenate([[0], np.cumsum(bit)]))
+            self.ranks.append(np.concatenate([[0], np.cumsum(bit)]).astype(np.int32))
             self.zeros.append(int(len(s) - bit.sum()))
             s = np.concatenate([s[bit == 0], s[bit == 1]])
 
@@ -137,13 +148,15 @@ class FMIndex:
         """Intervals of suffixes that begin with each row of ``patterns``."""
         low = np.zeros(len(patterns), dtype=np.int64)
         high = np.full(len(patterns), self.n, dtype=np.int64)
+        live = np.arange(len(patterns))
         for j in range(patterns.shape[1] - 1, -1, -1):
-            c = patterns[:, j]
+            c = patterns[live, j]
             known = c <= self.top
-            c = np.where(known, c, 0)
-            low = np.where(known, self.before[c] + self.matrix.rank(c, low), 0)
-            high = np.where(known, self.before[c] + self.matrix.rank(c, high), 0)
-            high = np.maximum(low, high)
+            high[live[~known]] = low[live[~known]]
+            live, c = live[known], c[known]
+            low[live] = self.before[c] + self.matrix.rank(c, low[live])
+            high[live] = self.before[c] + self.matrix.rank(c, high[live])
+            live = live[high[live] > low[live]]
         return low, high
 
     def locate(self, at: np.ndarray) -> np.ndarray:
@@ -163,86 +176,53 @@ class FMIndex:
         return out
 
 
-def candidates(data: np.ndarray, off: np.ndarray, phrases: Phrases):
-    """Words of runs that can hold a phrase: (word codes, row, word number, run break after), and words of each row."""
-    data = common.LOWER[data]
-    starts, ends, row = common.word_spans(data, off)
-    n_words = np.bincount(row, minlength=len(off) - 1)
-    none = np.zeros(0, np.int64)
-    if not len(starts) or not phrases.shortest:
-        return none, none, none, none, n_words
-    codes = common.span_hash(common.prefix_codes(data), starts, ends)
-    near = np.zeros(len(codes), dtype=bool)  # with the next word
-    if len(codes) > 1 and len(phrases.pairs):
-        key = pair_code(codes[:-1], codes[1:])
-        hit = np.flatnonzero(phrases.pair_bits[key >> np.uint64(42)] & (row[:-1] == row[1:]))
-        at = np.minimum(np.searchsorted(phrases.pairs, key[hit]), len(phrases.pairs) - 1)
-        near[hit[phrases.pairs[at] == key[hit]]] = True
-    begin = near & ~np.concatenate([[False], near[:-1]])
-    s = np.flatnonzero(begin)
-    e = np.flatnonzero(near & ~np.concatenate([near[1:], [False]])) + 2
-    long = e - s >= phrases.shortest
-    s, e = s[long], e[long]
-    take = np.zeros(len(codes), dtype=bool)
-    take[common.ranges(s, e - s)] = True
-    last = np.zeros(len(codes), dtype=bool)
-    last[e - 1] = True
-    if len(phrases.single):
-        alone = np.isin(codes, phrases.vocabulary[phrases.single]) & ~take
-        take |= alone
-        last |= alone
-    pick = np.flatnonzero(take)
-    first = np.searchsorted(row, np.arange(len(off)))
-    return codes[pick], row[pick], pick - first[row[pick]], last[pick], n_words
-
-
-def find(codes, row, number, last, phrases: Phrases):
-    """(row, first word, length, items) of every occurrence, by FM-index over the kept runs."""
-    if not len(codes):
-        return
-    at = np.minimum(np.searchsorted(phrases.vocabulary, codes), len(phrases.vocabulary) - 1)
-    symbols = np.where(phrases.vocabulary[at] == codes, at + 2, 1)
-    slot = np.arange(len(codes)) + np.concatenate([[0], np.cumsum(last[:-1])])  # a break symbol after each run
+def find(data: np.ndarray, off: np.ndarray, phrases: Phrases):
+    """The words of each row, and (row, first word, length, windows) of every occurrence in a shard, by its FM-index."""
+    codes, row, number, count = words_of(data, off)
+    found: list[tuple[np.ndarray, np.ndarray, int, np.ndarray]] = []
+    if not len(codes) or not phrases.windows:
+        return count, found
+    kinds, word = np.unique(codes, return_inverse=True)
+    slot = np.arange(len(codes)) + row - row[0]  # a break after each row
     text = np.ones(int(slot[-1]) + 2, dtype=np.int64)
-    text[slot] = symbols
+    text[slot] = word + 2
     text[-1] = 0
+    index = FMIndex(text)
     back = np.full(len(text), -1, dtype=np.int64)
     back[slot] = np.arange(len(codes))
-    index = FMIndex(text)
+    at = np.minimum(np.searchsorted(kinds, phrases.vocabulary), len(kinds) - 1)
+    symbol = np.where(kinds[at] == phrases.vocabulary, at + 2, index.top + 1)  # no word of the shard: a symbol that it has not
     for n, windows in phrases.windows.items():
-        low, high = index.search(windows + 2)
-        found = np.flatnonzero(high > low)
-        if not len(found):
-            continue
-        times = (high - low)[found]
-        which = np.repeat(found, times)
-        places = back[index.locate(common.ranges(low[found], times))]
-        yield row[places], number[places], n, which
+        low, high = index.search(symbol[windows])
+        hit = np.flatnonzero(high > low)
+        times = (high - low)[hit]
+        places = back[index.locate(common.ranges(low[hit], times))]
+        found.append((row[places], number[places], n, np.repeat(hit, times)))
+    return count, found
 
 
-def scan(batches: Iterator[pa.RecordBatch], phrases: Phrases, last_block: bool) -> Iterator[pa.RecordBatch]:
+def scan(batches: Iterator[pa.RecordBatch], phrases: Phrases, finish) -> Iterator[pa.RecordBatch]:
+    """finish(batch, words of each row, merged spans by row, items by row) of each batch."""
     for batch in batches:
         if not batch.num_rows:
             continue
         data, off = common.utf8(batch.column("text"))
-        parts, n_words = [], []
-        for i, j in common.chunks(off):
-            c = candidates(data[off[i] : off[j]], off[i : j + 1] - off[i], phrases)
-            parts.append((c[0], c[1] + i, c[2], c[3]))
-            n_words.append(c[4])
-        joined = [np.concatenate([p[k] for p in parts]) for k in range(4)]
         spans: dict[int, list] = {}
         items: dict[int, set] = {}
         if "spans" in batch.schema.names:
             for r, (s, x) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)):
                 if x:
                     spans[r], items[r] = [(p["start"], p["end"]) for p in s], set(x)
-        for rows, number, n, which in find(*joined, phrases):
-            names = phrases.items[n]
-            for r, w, k in zip(rows.tolist(), number.tolist(), which.tolist(), strict=True):
-                spans.setdefault(r, []).append((w, w + n))
-                items.setdefault(r, set()).update(str(x) for x in names[k])
-        yield answer(batch, np.concatenate(n_words), spans, items, last_block)
+        n_words = []
+        for i, j in common.chunks(off, SHARD_BYTES):
+            count, found = find(data[off[i] : off[j]], off[i : j + 1] - off[i], phrases)
+            n_words.append(count)
+            for rows, number, n, which in found:
+                names = phrases.items[n]
+                for r, w, k in zip((rows + i).tolist(), number.tolist(), which.tolist(), strict=True):
+                    spans.setdefault(r, []).append((w, w + n))
+                    items.setdefault(r, set()).update(str(x) for x in names[k])
+        yield finish(batch, np.concatenate(n_words), {r: merged(s) for r, s in spans.items()}, items)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -255,25 +235,31 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def answer(batch, n_words, spans, items, last_block) -> pa.RecordBatch:
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def span_column(n: int, spans: dict) -> pa.Array:
+    return pa.array([[{"start": s, "end": e} for s, e in spans.get(r, ())] for r in range(n)], SPANS)
+
+
+def carried(batch, n_words, spans, items) -> pa.RecordBatch:
+    """What was found so far, for the next block of phrases."""
+    n = batch.num_rows
+    keep = [c for c in batch.schema.names if c not in ("spans", "items")]
+    found = pa.array([sorted(items.get(r, ())) for r in range(n)], pa.list_(pa.string()))
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), span_column(n, spans), found], names=[*keep, "spans", "items"])
+
+
+def answer(batch, n_words, spans, items) -> pa.RecordBatch:
     n = batch.num_rows
-    pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    whole = {r: merged(s) for r, s in spans.items()}
-    span_column = pa.array([[{"start": s, "end": e} for s, e in whole.get(r, ())] for r in range(n)], pair)
-    if not last_block:
-        keep = [c for c in batch.schema.names if c not in ("spans", "items")]
-        return pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in keep), span_column, pa.array([sorted(items.get(r, ())) for r in range(n)], pa.list_(pa.string()))],
-            names=[*keep, "spans", "items"],
-        )
     n_hit, n_items = np.zeros(n, np.int64), np.zeros(n, np.int64)
     digests = [EMPTY] * n
-    for r, s in whole.items():
+    for r, s in spans.items():
         n_hit[r] = sum(e - b for b, e in s)
         n_items[r] = len(items[r])
         digests[r] = hashlib.sha256(",".join(sorted(items[r])).encode()).hexdigest()
     return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id"), pa.array(n_words.astype(np.int64)), pa.array(n_hit), pa.array(n_items), pa.array(digests), pa.array(n_items >= 2), span_column],
+        [batch.column("doc_id"), pa.array(n_words.astype(np.int64)), pa.array(n_hit), pa.array(n_items), pa.array(digests), pa.array(n_items >= 2), span_column(n, spans)],
         names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
     )
 
@@ -293,17 +279,31 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[lis
         yield rows
 
 
+FOUND = "spans array<struct<start:long,end:long>>, items array<string>"
+
+
+def passes(frame: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, finish, schema: str) -> DataFrame:
+    """``frame`` (with a text) scanned once for each block of phrases; the last pass ends with ``finish``.
+
+    The driver holds the phrases of one block at a time.
+    """
+    common.small_batches(frame.sparkSession)
+    context = frame.sparkSession.sparkContext
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
+    waiting = None
+    for rows in blocks(benchmark, block_bytes):
+        if waiting is not None:
+            frame = frame.mapInArrow(lambda batches, sent=waiting: scan(batches, sent.value, carried), f"{fields}, {FOUND}")
+        waiting = context.broadcast(Phrases(rows, window))
+    waiting = waiting or context.broadcast(Phrases([], window))
+    return frame.mapInArrow(lambda batches: scan(batches, waiting.value, finish), schema)
+
+
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the hit spans (in words, merged) of each document."""
-    context = documents.sparkSession.sparkContext
     frame = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    passes = [Phrases(rows, window) for rows in blocks(benchmark, block_bytes)] or [Phrases([], window)]
-    id_type = frame.schema["doc_id"].dataType.simpleString()
-    for k, phrases in enumerate(passes):
-        sent, last = context.broadcast(phrases), k == len(passes) - 1
-        schema = RESULT.replace("doc_id long", f"doc_id {id_type}") if last else f"doc_id {id_type}, text string, spans array<struct<start:long,end:long>>, items array<string>"
-        frame = frame.mapInArrow(lambda batches, sent=sent, last=last: scan(batches, sent.value, last), schema)
-    return frame
+    kind = frame.schema["doc_id"].dataType.simpleString()
+    return passes(frame, benchmark, window, block_bytes, answer, RESULT.replace("doc_id long", f"doc_id {kind}"))
 
 
 def cut(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -315,37 +315,29 @@ def cut(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_
     """
     names = documents.columns
     frame = documents.select(*(F.col(c).alias(f"in_{c}") for c in names if c != "text"), F.col("text").cast("string").alias("text"))
-    carried = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
-    context = documents.sparkSession.sparkContext
-    for rows in blocks(benchmark, block_bytes):
-        sent = context.broadcast(Phrases(rows, window))
-        frame = frame.mapInArrow(lambda batches, sent=sent: scan(batches, sent.value, False), f"{carried}, spans array<struct<start:long,end:long>>, items array<string>")
-    if "spans" not in frame.columns:
-        return documents
-
-    def strip(batches):
-        for batch in batches:
-            items = batch.column("items").to_pylist()
-            batch = batch.filter(pa.array([len(x) < 2 for x in items], pa.bool_()))
-            texts, spans = batch.column("text").to_pylist(), batch.column("spans").to_pylist()
-            out = [without(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
-            arrays = []
-            for c in names:
-                a = batch.column(c if c == "text" else f"in_{c}")
-                if c == "text":
-                    a = pa.array(out, a.type)
-                elif c == "n_chars":
-                    a = pa.array([len(t) if s else v for t, s, v in zip(out, spans, a.to_pylist(), strict=True)], a.type)
-                arrays.append(a)
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    return frame.mapInArrow(strip, documents.schema)
-
-
-def without(text: str, spans: list[dict]) -> str:
+
+    def strip(batch, n_words, spans, items) -> pa.RecordBatch:
+        stay = [r for r in range(batch.num_rows) if len(items.get(r, ())) < 2]
+        batch = batch.take(pa.array(stay, pa.int64()))
+        spans = [spans.get(r, ()) for r in stay]
+        texts = [without(t, s) if s else t for t, s in zip(batch.column("text").to_pylist(), spans, strict=True)]
+        arrays = []
+        for c in names:
+            a = batch.column(c if c == "text" else f"in_{c}")
+            if c == "text":
+                a = pa.array(texts, a.type)
+            elif c == "n_chars":
+                a = pa.array([len(t) if s else v for t, s, v in zip(texts, spans, a.to_pylist(), strict=True)], a.type)
+            arrays.append(a)
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return passes(frame, benchmark, window, block_bytes, strip, documents.schema)
+
+
+def without(text: str, spans: list[tuple[int, int]]) -> str:
     raw = np.frombuffer(text.encode(), np.uint8)
     starts, ends, _ = common.word_spans(common.LOWER[raw], np.array([0, len(raw)]))
     keep = np.ones(len(raw), dtype=bool)
-    for s in spans:
-        keep[starts[s["start"]] : ends[s["end"] - 1]] = False
+    for s, e in spans:
+        keep[starts[s] : ends[e - 1]] = False
     return raw[keep].tobytes().decode()
