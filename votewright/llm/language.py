@@ -11,10 +11,12 @@ The network is fitted on a bounded sample of labelled rows (``TRAIN_ROWS`` rows,
 ``TRAIN_WINDOWS`` windows each) whose crc32(doc_id) mod 5 is not 0. Predictions
 use the text alone.
 
-Defined results: lang_pred is ``und`` with score 0.0 where the text is null or
-has no letter (str.isalpha), and everywhere if there is no labelled row. Ties
-go to the alphabetically first language. Rows with a null doc_id are predicted,
-never learned from; repeated rows are answered one by one.
+Defined results: lang_pred is ``und`` with score 0.0 where the text is null,
+empty or has no letter (str.isalpha), and everywhere if there is no labelled
+row. Ties go to the alphabetically first language. Texts are read whole, however
+long. Rows with a null doc_id are predicted, never learned from; repeated rows
+are answered one by one. An empty table gives no rows. Further columns are
+ignored by ``identify`` and kept by ``accepted``, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ TRAIN_ROWS = 1500
 TRAIN_WINDOWS = 3
 EPOCHS = 6
 UNDETERMINED = "und"
+#: How far from chance to certainty a text's best language must come to be accepted.
+ACCEPT = 0.1
 
 
 class ByteConvNet:
@@ -232,18 +236,32 @@ def identify(documents: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     sent = documents.sparkSession.sparkContext.broadcast(train(sample(frame, rows)))
     asked = frame.select("doc_id", "text", F.coalesce(common.crc_mod(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"))
     kind = asked.schema["doc_id"].dataType.simpleString()
+    common.small_batches(documents.sparkSession)
     return asked.mapInArrow(lambda batches: predict(batches, sent.value), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
+def least_score(languages: int) -> float:
+    """The least score with which a text is accepted where so many languages are told apart."""
+    return 1 / languages + ACCEPT * (1 - 1 / languages) - 1e-6
+
+
 def accepted(documents: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """``documents`` but for those whose language cannot be told: no text, or no letter in it.
+    """``documents`` but for those whose language cannot be told; a null lang becomes the predicted one.
 
-    A lettered text stays whatever the network says of it, and where no label was there to learn from.
+    Rejected are texts that are null or have no letter, and those of which the
+    network prefers no language: the best one's score is below ``least_score``.
+    Where no label was there to learn from, every lettered text stays.
     """
     frame = documents.withColumn("text", F.col("text").cast("string"))
-    sent = documents.sparkSession.sparkContext.broadcast(train(sample(frame, rows)))
+    model = train(sample(frame, rows))
+    sent = documents.sparkSession.sparkContext.broadcast(model)
     names = documents.columns
     inner = frame.select(*(F.col(c).alias(c if c == "text" else f"in_{c}") for c in names))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema)
+    common.small_batches(documents.sparkSession)
     told = inner.mapInArrow(lambda batches: predict(batches, sent.value, True), f"{fields}, lang_pred string, score double, lettered boolean")
-    return told.where("lettered").select(*(F.col(c if c == "text" else f"in_{c}").alias(c) for c in names))
+    told = told.where("lettered" if model is None else F.col("lettered") & (F.col("score") >= least_score(len(model.classes))))
+    kept = {c: F.col(c if c == "text" else f"in_{c}") for c in names}
+    if model is not None and documents.schema["lang"].dataType.typeName() == "string":
+        kept["lang"] = F.coalesce(kept["lang"], "lang_pred")
+    return told.select(*(kept[c].alias(c) for c in names))

@@ -14,8 +14,10 @@
    spread over many tasks. A last window function over each sequence (at most
    4096 tokens) gives the offsets.
 
-Defined results: a null or empty text is one piece with id 2 alone. Repeated
-rows are packed one by one. An empty table gives no rows.
+Defined results: a null or empty text is one piece with id 2 alone; a text is
+packed whole, however long, in pieces of at most a window. Repeated rows and
+rows with a null doc_id are packed one by one; of equal pieces any may take
+either place. An empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ DEPTH = 3
 #: Pieces in one salted part of a length class.
 PART = 100_000
 #: Words that a worker keeps encoded; beyond that it starts anew.
-CACHE = 2_000_000
+CACHE = 200_000
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -184,7 +186,7 @@ def pieces(batches: Iterator[pa.RecordBatch], tokenizer_json: str) -> Iterator[p
     for batch in batches:
         data, off = common.utf8(batch.column("text"))
         rows, start, length, crc, tokens = [], [], [], [], []
-        for i, j in common.chunks(off, 2 * common.CHUNK_BYTES):
+        for i, j in common.chunks(off):
             ids, count = token_ids(data[off[i] : off[j]], off[i : j + 1] - off[i], words)
             view, at = memoryview(ids.astype("<u4")).cast("B"), 0
             for r, n in enumerate(count.tolist(), i):
@@ -322,10 +324,11 @@ def pack(documents: DataFrame, tokenizer_path: str) -> DataFrame:
         sent = spark.sparkContext.broadcast(file.read())
     frame = documents.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("copy"))
     kind = frame.schema["doc_id"].dataType.simpleString()
+    common.small_batches(spark)
     cut = frame.mapInArrow(lambda batches: pieces(batches, sent.value), f"doc_id {kind}, copy long, start long, length long, ids_crc32 long, doc_tokens long")
     length = F.col("length")
     cut = cut.withColumn("bin", F.when(length <= EXACT, length).otherwise(EXACT - EXACT // UNIT + F.ceil(length / UNIT)).cast("int"))
-    cut = common.checkpointed(cut)
+    cut = common.Store(spark, "pack").save(cut, "pieces")
     histogram = {r.bin: r.n for r in cut.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most BINS rows
     runs = slots(patterns(histogram))
     parts = max(8, sum(histogram.values()) // PART)
