@@ -168,10 +168,14 @@ class MultitaskClassifier:
                     grads_out[op.inputs] = grads_out.get(op.inputs, 0) + back
         return losses, counts, grads
 
-    def probs(self, x: dict[str, np.ndarray], tasks: Iterable[str] | None = None) -> dict[str, np.ndarray]:
+    def logits(self, x: dict[str, np.ndarray], tasks: Iterable[str] | None = None) -> dict[str, np.ndarray]:
+        """What each task's last operation gives."""
         tasks = list(tasks or self.tasks)
         out, _ = self.forward(x, tasks)
-        return {t: self.tasks[t].output_func(out[self.tasks[t].op_sequence[-1].name]) for t in tasks}
+        return {t: out[self.tasks[t].op_sequence[-1].name] for t in tasks}
+
+    def probs(self, x: dict[str, np.ndarray], tasks: Iterable[str] | None = None) -> dict[str, np.ndarray]:
+        return {t: self.tasks[t].output_func(z) for t, z in self.logits(x, tasks).items()}
 
     def predict(self, df: DataFrame, features: dict[str, str], id_col: str, keep: Sequence[str] = ()) -> DataFrame:
         """(id, kept columns, ``{task}_probs``, ``{task}_pred``); ``features``: input field -> array or number column."""
@@ -295,13 +299,21 @@ class SliceCombiner:
     def forward(self, x: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, Any]:
         if any(i.shape[1] != 2 or p.shape[1] != 2 for i, p, _ in x):
             raise NotImplementedError("more than 2 classes are not implemented")
-        score = np.stack([class_probs(i)[:, 1] * class_probs(p)[:, 1] for i, p, _ in x], axis=1) / self.temperature
-        attention = class_probs(score)
-        return sum(attention[:, k : k + 1] * f for k, (_, _, f) in enumerate(x)), attention
-
-    def backward(self, kept: Any, grad: np.ndarray) -> tuple[list[np.ndarray], dict[str, np.ndarray]]:
-        """Gradients of the slices' features; attention is held fixed, as the heads have losses of their own."""
-        return [kept[:, k : k + 1] * grad for k in range(kept.shape[1])], {}
+        inside, positive = (np.stack([class_probs(z[j])[:, 1] for z in x], axis=1) for j in (0, 1))
+        attention = class_probs(inside * positive / self.temperature)
+        return sum(attention[:, k : k + 1] * f for k, (_, _, f) in enumerate(x)), (attention, inside, positive, [f for _, _, f in x])
+
+    def backward(self, kept: Any, grad: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], dict[str, np.ndarray]]:
+        """Gradients of each slice's membership logits, prediction logits and features."""
+        attention, inside, positive, features = kept
+        gain = np.stack([(grad * f).sum(axis=1) for f in features], axis=1)
+        score = attention * (gain - (attention * gain).sum(axis=1, keepdims=True)) / self.temperature
+        two = lambda g: np.stack([-g, g], axis=1)
+        back = []
+        for k in range(attention.shape[1]):
+            i, p = inside[:, k], positive[:, k]
+            back.append((two(score[:, k] * p * i * (1 - i)), two(score[:, k] * i * p * (1 - p)), attention[:, k : k + 1] * grad))
+        return back, {}
 
 
 class SliceAwareClassifier(MultitaskClassifier):
@@ -354,14 +366,17 @@ class SliceAwareClassifier(MultitaskClassifier):
         back, own = self.module_pool["master_head"].backward(kept[master], full)
         for k, v in own.items():
             grads[f"master_head/{k}"] += v
-        features, _ = self.module_pool["combiner"].backward(kept["combiner"], back)
-        for (_, _, f), grad in zip(self._parts(), features, strict=True):
-            down, own = self.module_pool[f].backward(kept[f], grad)
-            for k, v in own.items():
-                grads[f"{f}/{k}"] += v
-            _, own = self.module_pool["body"].backward(kept["body"], down)
+
+        def through(module: str, op: str, grad: np.ndarray) -> np.ndarray:
+            down, own = self.module_pool[module].backward(kept[op], grad)
             for k, v in own.items():
-                grads[f"body/{k}"] += v
+                grads[f"{module}/{k}"] += v
+            return down
+
+        slices, _ = self.module_pool["combiner"].backward(kept["combiner"], back)
+        for (i, p, f), (of_ind, of_pred, of_feature) in zip(self._parts(), slices, strict=True):
+            down = through(f, f, of_feature + through("pred_head", p, of_pred))
+            through("body", "body", down + through(i, i, of_ind))
         return losses, counts, grads
 
     def score_slices(self, df: DataFrame, features: dict[str, str], id_col: str, label_cols: Iterable[str]) -> dict[str, float]:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .mapping import Mapper, apply_mappers, chain, map_batch, missing_parentheses, unique_names
+from .mapping import LambdaMapper, Mapper, apply_mappers, chain, map_batch, missing_parentheses, unique_names
 
 ABSTAIN = -1
 
@@ -136,7 +136,10 @@ def apply_lfs(df: DataFrame, lfs: Iterable[LabelingFunction], id_col: str, keep:
 
 
 def _python_votes(df: DataFrame, lfs: list[LabelingFunction], carry: list[str], tolerant: bool) -> DataFrame:
-    inputs = list(dict.fromkeys(c for lf in lfs for c in [*lf.inputs, *(i for m in lf.pre for i in m.inputs)] if c in df.columns))
+    if any(isinstance(m, LambdaMapper) and not m.inputs for lf in lfs for m in chain(lf.pre)):
+        inputs = list(df.columns)  # a mapper of whole rows
+    else:
+        inputs = list(dict.fromkeys(c for lf in lfs for c in [*lf.inputs, *(i for m in chain(lf.pre) for i in m.inputs)] if c in df.columns))
     fields = list(dict.fromkeys([*carry, *inputs]))
     for m in chain(m for lf in lfs for m in lf.pre):
         m.schema()
@@ -167,7 +170,10 @@ def _votes_of(lf: LabelingFunction, data: pd.DataFrame, tolerant: bool) -> list[
         except Exception:
             if not tolerant:
                 raise
-            return [None] * len(data)
+            if len(data) == 1:
+                return [None]
+            # row by row, so that what fails does not depend on how rows were batched
+            return [v for k in range(len(data)) for v in _votes_of(lf, data.iloc[k : k + 1], tolerant)]
     out = []
     for row in data.itertuples(index=False):
         try:
@@ -180,6 +186,12 @@ def _votes_of(lf: LabelingFunction, data: pd.DataFrame, tolerant: bool) -> list[
 
 
 def filter_unlabeled(df: DataFrame, votes: VoteFrame) -> DataFrame:
-    """Rows of ``df`` on which at least one function votes."""
+    """Rows of ``df`` on which at least one function votes.
+
+    Votes that were applied with all columns of ``df`` kept are filtered as they
+    stand; else the rows are found by their ids.
+    """
+    if set(df.columns) <= set(votes.df.columns):
+        return votes.df.where(F.exists("votes", lambda v: v != ABSTAIN)).select(*df.columns)
     some = votes.df.where(F.exists("votes", lambda v: v != ABSTAIN)).select(votes.id_col)
     return df.join(some, votes.id_col, "left_semi")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import inspect
 from collections.abc import Callable, Iterable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from types import SimpleNamespace
 from typing import Any
 
@@ -88,7 +88,7 @@ class Mapper:
     def __post_init__(self) -> None:
         if self.kind not in ("column", "pandas", "row"):
             raise ValueError(f"unknown kind of mapper: {self.kind}")
-        if not self.inputs:
+        if not self.inputs and not isinstance(self, LambdaMapper):
             self.inputs = get_parameters(self.f)
         if self.kind != "column" and self.outputs is None:
             raise ValueError(f"{self.name}: declare the outputs of a {self.kind} mapper")
@@ -114,13 +114,24 @@ class Mapper:
             frame = self.f(pd.DataFrame({k: [values[k]] for k in self.inputs}))
             out = {c: frame[c].iloc[0] for c in frame}
         else:
-            out = self.f(**{k: values[k] for k in self.inputs})
+            out = self.f(**{k: values[k] for k in self.inputs or values})
         return None if out is None else SimpleNamespace(**values | self.named(out))
 
+    def bound(self, columns: list[str]) -> Mapper:
+        """This mapper over a table of these columns."""
+        return self
+
     def __call__(self, df: DataFrame) -> DataFrame:
         return apply_mappers(df, [self])
 
 
+class LambdaMapper(Mapper):
+    """A row mapper whose function takes the row; without inputs it sees all columns of the table."""
+
+    def bound(self, columns: list[str]) -> Mapper:
+        return self if self.inputs else replace(self, inputs=list(columns))
+
+
 class Preprocessor(Mapper):
     """A mapper that prepares rows for labeling functions."""
 
@@ -138,11 +149,11 @@ def preprocessor(name: str | None = None, kind: str = "row", outputs: str | T.St
 
 
 def lambda_mapper(name: str | None = None, outputs: str | T.StructType | None = None, inputs: list[str] | None = None, **kw: Any):
-    """Decorator for a mapper over a whole row: ``f(row)`` returns the dict of what changes."""
+    """Decorator for a mapper over a row: ``f(row)`` returns the dict of what changes; ``inputs`` default to all columns."""
     missing_parentheses(name)
 
     def wrap(f: Callable[[Any], Any]) -> Mapper:
-        return Mapper(name or f.__name__, lambda **row: f(SimpleNamespace(**row)), "row", inputs or [], outputs, **kw)
+        return LambdaMapper(name or f.__name__, lambda **row: f(SimpleNamespace(**row)), "row", inputs or [], outputs, **kw)
 
     return wrap
 
@@ -160,6 +171,7 @@ def chain(mappers: Iterable[Mapper]) -> list[Mapper]:
 def apply_mappers(df: DataFrame, mappers: Iterable[Mapper]) -> DataFrame:
     """``df`` with the mappers' outputs added or replaced; a row that a mapper maps to None is dropped."""
     for m in chain(mappers):
+        m = m.bound(df.columns)
         if m.kind == "column":
             df = df.withColumns(m.named(m.f(*(F.col(c) for c in m.inputs))))
         elif m.memoize or m.memoize_key:
@@ -199,6 +211,7 @@ def map_batch(pdf: pd.DataFrame, mappers: Iterable[Mapper], tolerant: bool = Fal
         if m.kind == "pandas":
             pdf = pdf.assign(**m.named({c: s.to_numpy() for c, s in m.f(pdf[m.inputs]).items()}))
             continue
+        m = m.bound(pdf.columns)
         names = [f.name for f in m.schema()]
         rows, keep = [], []
         for values in zip(*(pdf[c] for c in m.inputs), strict=True):

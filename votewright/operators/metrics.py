@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Callable
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import filter_labels, range_part
 
+logger = logging.getLogger(__name__)
+
 METRICS: dict[str, list[str]] = {
     "accuracy": ["golds", "preds"],
     "coverage": ["preds"],
@@ -27,8 +31,9 @@ METRICS: dict[str, list[str]] = {
 
 
 def confusion(df: DataFrame, gold: str, pred: str, *by: str) -> DataFrame:
-    """(gold, pred, n): the one pass over the data that all label metrics need."""
-    return df.groupBy(*by, F.col(gold).alias("gold"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
+    """(gold, pred, n): the one pass over the data that all label metrics need. A null label counts as -1."""
+    label = lambda c: F.coalesce(F.col(c), F.lit(-1))
+    return df.groupBy(*by, label(gold).alias("gold"), label(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _safe(a, b):
@@ -122,12 +127,12 @@ class Scorer:
         self.metrics = list(metrics or [])
         for m in self.metrics:
             if m not in METRICS:
-                raise ValueError(f"Unrecognized metric: {m}")
+                raise ValueError(f"Unrecognized metric {m!r}; known are {sorted(METRICS)}")
         self.custom, self.abstain, self.kwargs = custom_metric_funcs or {}, abstain_label, metric_kwargs or {}
 
     def score(self, df: DataFrame, gold: str, pred: str | None = None, probs: str | None = None) -> dict[str, float]:
         if df.isEmpty():
-            raise ValueError("Cannot score empty labels")
+            raise ValueError("there are no rows to score: the table is empty")
         out: dict[str, float] = {}
         filters = {} if self.abstain is None else {c: [self.abstain] for c in (gold, pred) if c}
         cells = None
@@ -135,9 +140,9 @@ class Scorer:
             if m == "roc_auc" or pred is None:
                 out[m] = metric_score(df, m, gold, pred, probs, filters, **self.kwargs.get(m, {}))
                 continue
-            cells = cells if cells is not None else [(r.gold, r.pred, r.n) for r in confusion(df, gold, pred).collect()]
-            used = cells if m == "coverage" or self.abstain is None else [c for c in cells if self.abstain not in c[:2]]
-            out[m] = float(from_confusion(used, m, **self.kwargs.get(m, {})))
+            if cells is None:
+                cells = self._from_cells([(r.gold, r.pred, r.n) for r in confusion(df, gold, pred).collect()])
+            out[m] = cells[m]
         for name, f in self.custom.items():
             value = f(df, gold, pred, probs)
             out.update(value if isinstance(value, dict) else {name: value})
@@ -148,7 +153,40 @@ class Scorer:
         unknown = [s for s in slices if s not in df.columns]
         if unknown:
             raise ValueError(f"slices are no columns: {unknown}")
-        return {"overall": self.score(df, gold, pred, probs), **{s: self.score(df.where(F.col(s).cast("int") > 0), gold, pred, probs) for s in slices}}
+        if pred is None or "roc_auc" in self.metrics or self.custom:
+            return {"overall": self.score(df, gold, pred, probs), **{s: self.score(df.where(F.col(s).cast("int") > 0), gold, pred, probs) for s in slices}}
+        member = F.array(F.lit(""), *[F.when(F.col(s).cast("int") > 0, F.lit(s)) for s in slices])
+        each = df.select(F.explode(F.array_compact(member)).alias("_slice"), gold, pred)
+        cells: dict[str, list] = {s: [] for s in ["", *slices]}
+        for r in confusion(each, gold, pred, "_slice").collect():
+            cells[r["_slice"]].append((r.gold, r.pred, r.n))
+        return {s or "overall": self._from_cells(c) for s, c in cells.items()}
+
+    def _from_cells(self, cells: list[tuple[int, int, int]]) -> dict[str, float]:
+        if not cells:
+            raise ValueError("there is nothing to score")
+        known = cells if self.abstain is None else [c for c in cells if self.abstain not in c[:2]]
+        return {m: float(from_confusion(cells if m == "coverage" else known, m, **self.kwargs.get(m, {}))) for m in self.metrics}
+
+    def score_arrays(self, golds: np.ndarray, preds: np.ndarray, probs: np.ndarray | None = None) -> dict[str, float]:
+        """The metrics of arrays on the driver; custom functions, which take frames, are left out."""
+        golds, preds = np.asarray(golds, int), np.asarray(preds, int)
+        pairs, counts = np.unique(np.stack([golds, preds], 1), axis=0, return_counts=True)
+        cells = [(int(g), int(p), int(n)) for (g, p), n in zip(pairs, counts, strict=True)]
+        out = Scorer([m for m in self.metrics if m != "roc_auc"], None, self.abstain, self.kwargs)._from_cells(cells)
+        if "roc_auc" in self.metrics:
+            known = np.ones(len(golds), bool) if self.abstain is None else (golds != self.abstain) & (preds != self.abstain)
+            out["roc_auc"] = array_auc(golds[known] == 1, np.asarray(probs)[known, 1])
+        return {m: out[m] for m in self.metrics}
+
+
+def array_auc(positive: np.ndarray, scores: np.ndarray) -> float:
+    """The chance that a positive has the larger score, ties counting half; NaN where a class is missing."""
+    _, place, counts = np.unique(scores, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(counts) - (counts - 1) / 2)[place]
+    n = int(positive.sum())
+    m = len(positive) - n
+    return float((rank[positive].sum() - n * (n + 1) / 2) / (n * m)) if n and m else float("nan")
 
 
 def slice_metrics(df: DataFrame, slices: list[str], gold: str, pred: str, abstain: int = -1) -> DataFrame:
@@ -166,19 +204,34 @@ def slice_metrics(df: DataFrame, slices: list[str], gold: str, pred: str, abstai
     return c.select("slice", "n", ratio(F.col("right"), F.col("used")).alias("accuracy"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), ratio(F.col("covered"), F.col("n")).alias("coverage"))
 
 
+def label_bucket_rows(df: DataFrame, id_col: str, *labels: str) -> DataFrame:
+    """(labels, id) of each row: the buckets as a table, whatever their size; a projection."""
+    if not labels:
+        raise ValueError("at least one label column is needed")
+    return df.select(*labels, id_col)
+
+
+def bucket_sizes(df: DataFrame, *labels: str) -> DataFrame:
+    """(labels, n) of each combination of labels that occurs."""
+    return df.groupBy(*labels).agg(F.count(F.lit(1)).alias("n"))
+
+
 def get_label_buckets(df: DataFrame, id_col: str, *labels: str) -> DataFrame:
-    """A row for each combination of labels that occurs, with its ids in order."""
+    """A row for each combination of labels that occurs, with its ids in order.
+
+    A bucket's ids are one value of one row, which is for buckets that fit in
+    memory; ``label_bucket_rows`` has no such bound.
+    """
     if not labels:
         raise ValueError("at least one label column is needed")
     return df.groupBy(*labels).agg(F.sort_array(F.collect_list(id_col)).alias("ids"))
 
 
 def get_label_instances(df: DataFrame, bucket: tuple[int, ...], *labels: str) -> DataFrame:
-    """The rows whose labels are those of ``bucket``; none if it does not occur."""
+    """The rows whose labels are those of ``bucket``; none, and a warning, if it does not occur."""
     if len(bucket) != len(labels):
         raise ValueError("The bucket and the label columns must be equally many.")
-    return df.where(reduce(lambda a, b: a & b, [F.col(c) == v for c, v in zip(labels, bucket, strict=True)]))
-
-
-def as_column(condition: Column | bool) -> Column:
-    return F.lit(condition) if isinstance(condition, bool) else condition
+    found = df.where(reduce(lambda a, b: a & b, [F.col(c) == v for c, v in zip(labels, bucket, strict=True)]))
+    if found.isEmpty():
+        logger.warning("no row has the labels %s", bucket)
+    return found

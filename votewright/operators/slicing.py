@@ -38,7 +38,10 @@ def slice_dataframe(df: DataFrame, sf: SlicingFunction, id_col: str | None = Non
         return df.where(sf.column() > 0)
     if id_col is None:
         raise ValueError("a Python slicing function needs the id column")
-    return df.join(apply_sfs(df, [sf], id_col).where(F.col(sf.name) > 0).select(id_col), id_col, "left_semi")
+    if {"votes", "_python"} & set(df.columns):
+        return df.join(apply_sfs(df, [sf], id_col).where(F.col(sf.name) > 0).select(id_col), id_col, "left_semi")
+    votes = apply_lfs(df, [sf], id_col, df.columns)
+    return votes.df.where(F.get("votes", F.lit(0)) > 0).select(*df.columns)
 
 
 def add_slice_labels(df: DataFrame, task: str, label: str, slices: list[str]) -> DataFrame:

@@ -15,7 +15,6 @@ from ..config import CheckpointerConfig, LogManagerConfig, LogWriterConfig, Trai
 from ..functions.optim import Optimizer, lr_schedule
 from ..sources.params import read_params, write_params
 from .classification import DictDataset, MultitaskClassifier, batches
-from .metrics import from_confusion
 
 logger = logging.getLogger(__name__)
 
@@ -123,9 +122,11 @@ class Checkpointer:
             model.save(str(self.path(m)))
 
     def load_best_model(self, model: MultitaskClassifier) -> MultitaskClassifier:
-        best = self.path(next(iter(self.metrics)))
-        if best.exists():
-            model.load(str(best))
+        metric = next(iter(self.metrics))
+        if metric in self.best:
+            model.load(str(self.path(metric)))
+        else:
+            logger.warning("the checkpoint metric %s was never computed; the last parameters stay", metric)
         return model
 
     def clear(self) -> None:
@@ -227,15 +228,19 @@ class Trainer:
         return out
 
     def _evaluate(self, model: MultitaskClassifier, valid: list[DictDataset]) -> dict[str, float]:
+        """The metrics of each task's scorer, and its loss."""
         out = {}
         for d in valid:
             y = {k: v for k, v in d.y.items() if k in model.tasks}
-            losses, _, _ = model.calculate_loss(d.x, y)
-            probs = model.probs(d.x, y)
+            logits = model.logits(d.x, y)
             for t, labels in y.items():
-                pred = probs[t].argmax(axis=1)
-                cells = [(int(g), int(p), 1) for g, p in zip(labels, pred, strict=True) if g != -1]
-                out |= {f"{t}/{d.name}/{d.split}/accuracy": from_confusion(cells, "accuracy")} | ({f"{t}/{d.name}/{d.split}/loss": losses[t]} if t in losses else {})
+                task, at = model.tasks[t], f"{t}/{d.name}/{d.split}"
+                active = (labels != -1) if labels.ndim == 1 else ~(labels == -1).any(axis=1)
+                if active.any():
+                    out[f"{at}/loss"] = task.loss_func(logits[t][active], labels[active])[0]
+                probs = task.output_func(logits[t])
+                golds = labels if labels.ndim == 1 else labels.argmax(axis=1)
+                out |= {f"{at}/{m}": v for m, v in task.scorer.score_arrays(golds, probs.argmax(axis=1), probs).items()}
         return out
 
     def save(self, path: str) -> None:
