@@ -19,8 +19,9 @@ anchor for 35 bytes; each stands for the run of string starts it was chosen by.
 4. Covered spans are merged by document and the other bytes kept.
 
 Defined results: a null text is empty: no bytes, no spans, the digest of the
-empty string. Texts shorter than the string length lose nothing. Rows with a
-null doc_id come after all others. Rows that repeat a doc_id and text are one
+empty string. Texts shorter than the string length lose nothing; texts are taken
+whole, however long. Rows with a null doc_id come after all others; ids that are
+not whole numbers are ordered as text. Further columns are ignored. Rows that repeat a doc_id and text are one
 document and get the same answer each; other texts of a repeated doc_id are
 taken as further texts of that document, in the order of their digests. An
 empty table gives no rows. Strings are compared by 64-bit hashes.
@@ -45,7 +46,6 @@ REACH = LENGTH - GRAM  # the farthest start of a string before its anchor
 SHARD_BYTES = 4 << 20
 #: Differing runs of one anchor that are still compared in a suffix array.
 HOT = 20_000
-LAST_ID = (1 << 63) - 1
 
 ANCHOR = np.dtype([("h", "<u8"), ("r", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("before", "u1"), ("after", "u1")])
 SPAN = np.dtype([("doc", "<i8"), ("start", "<i8"), ("size", "<i4")])
@@ -365,13 +365,16 @@ def remove_repeats(documents: DataFrame, shard_bytes: int = SHARD_BYTES) -> Data
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document."""
     kind = documents.schema["doc_id"].dataType
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), text.alias("text"))
-    back = lambda df: df.select(F.when(F.col("id") != LAST_ID, F.col("id")).cast(kind).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    if rows.groupBy("id").count().where("count > 1").isEmpty():
+    common.small_batches(documents.sparkSession)
+    rows = documents.select(common.order_id(documents).alias("id"), text.alias("text"))
+    back = lambda df: df.select(F.when(F.col("id") != F.lit(last), F.col("id")).cast(kind).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    whole = rows.schema["id"].dataType.typeName() == "long"
+    last = common.LAST_ID if whole else chr(0x10FFFF)
+    if whole and rows.groupBy("id").count().where("count > 1").isEmpty():
         return back(_removed(rows, shard_bytes))
     marked = rows.withColumn("mark", F.sha2("text", 256))
     single = marked.dropDuplicates(["id", "mark"]).orderBy("id", "mark").withColumn("number", F.monotonically_increasing_id())
-    single = common.checkpointed(single)  # growing numbers in order of id and mark
+    single = common.Store(documents.sparkSession, "repeats").save(single, "single")  # growing numbers in order of id and mark
     done = _removed(single.select(F.col("number").alias("id"), "text"), shard_bytes).withColumnRenamed("id", "number")
     named = single.select("id", "mark", "number").join(done, "number").drop("number")
     return back(marked.select("id", "mark").join(named, ["id", "mark"]))
@@ -381,9 +384,7 @@ def _removed(rows: DataFrame, shard_bytes: int) -> DataFrame:
     total = rows.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = int(total // shard_bytes) | 1
     found = rows.mapInArrow(lambda batches: find_anchors(batches, buckets), SCHEMA)
-    met = common.checkpointed(found.groupBy("bucket").applyInArrow(lambda t: meet(t, buckets), SCHEMA))
-    del found
-    common.release(rows.sparkSession)
+    met = common.Store(rows.sparkSession, "repeats").save(found.groupBy("bucket").applyInArrow(lambda t: meet(t, buckets), SCHEMA), "met")
     docs = rows.select("id", "text", F.pmod("id", F.lit(buckets)).cast("int").alias("bucket"))
     edges = met.where(F.col("kind") == EDGES)
     around = docs.groupBy("bucket").cogroup(edges.groupBy("bucket")).applyInArrow(lambda d, e: fetch(d, e, buckets), SCHEMA)
