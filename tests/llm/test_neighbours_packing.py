@@ -87,3 +87,12 @@ def test_nnls():
     a = np.array([[1.0, 0], [1, 1], [0, 2]])
     assert np.allclose(packing.nnls(a, np.array([2.0, 5, 6])), [2, 3])
     assert np.allclose(packing.nnls(np.eye(2), np.array([-1.0, 3])), [0, 3])
+
+
+def test_products_that_overflow_bounds(spark):
+    rows = [(0, [1e155, 1.0]), (1, [1e150, 2.0]), (2, [2e155, 0.0]), (3, [-1e155, 5.0]), (4, [1.0, 1.0]), (5, [1e200, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r["rank"], r.score) for r in neighbours.nearest(frame).collect()}
+    want = {i: sum(a * b for a, b in zip(rows[0][1], v, strict=True)) for i, v in rows[1:]}
+    assert {i: s for i, (_, s) in got.items()} == want
+    assert sorted(got, key=lambda i: got[i][0]) == sorted(want, key=lambda i: (-want[i], i))

@@ -41,7 +41,8 @@ def quantised(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     scale = np.abs(v).max(axis=1) / 127
     codes = np.rint(v / scale[:, None]).astype(np.int8)
     near = codes * scale[:, None]
-    return codes, scale, np.linalg.norm(v - near, axis=1), np.linalg.norm(near, axis=1)
+    norm = lambda x: np.linalg.norm(x / scale[:, None], axis=1) * scale  # noqa: E731  squares of the components themselves may overflow
+    return codes, scale, norm(v - near), norm(near)
 
 
 def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +74,7 @@ def cell(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
     qc, qs, qe, qn = quantised(q)
     cc, cs, ce, cn = quantised(c)
     exact = np.float32 if q.shape[1] <= 1040 else np.float64
-    full = np.linalg.norm(c, axis=1)
+    full = np.linalg.norm(c / cs[:, None], axis=1) * cs
     heaps: list[list[tuple[float, int]]] = [[] for _ in qid]
     for b in range(0, len(cid), CANDIDATE_TILE):
         cols = slice(b, min(b + CANDIDATE_TILE, len(cid)))
@@ -83,15 +84,19 @@ def cell(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
             near = (qc[sel].astype(exact) @ right).astype(np.float64) * qs[sel, None] * cs[None, cols]
             width = qn[sel, None] * ce[None, cols] + qe[sel, None] * full[None, cols]
             width += 1e-12 * (1 + np.abs(near))  # rounding of the bounds themselves
+            beyond = ~np.isfinite(near) | ~np.isfinite(width)  # no bound: to be scored
+            near[beyond], width[beyond] = 0, np.inf
             near[qid[sel, None] == cid[None, cols]] = -np.inf
             held = np.array([h[0][0] if len(h) == k else -np.inf for h in heaps[sel]])
-            low = near - width
+            low = np.where(near > -np.inf, near - width, -np.inf)
             if low.shape[1] > k:
                 held = np.maximum(held, np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k])
             r, s = np.nonzero((near + width >= held[:, None]) & (near > -np.inf))
             for i in range(0, len(r), PAIRS):
                 rr, ss = r[i : i + PAIRS] + a, s[i : i + PAIRS] + b
-                score = (q[rr] * c[ss]).sum(axis=1)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    score = np.cumsum(q[rr] * c[ss], axis=1)[:, -1]  # summed in order
+                score[np.isnan(score)] = -np.inf
                 for x, y, z in zip(rr.tolist(), score.tolist(), cid[ss].tolist(), strict=True):
                     heap = heaps[x]
                     if len(heap) < k:
