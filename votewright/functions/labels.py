@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ABSTAIN = -1
 TIE_POLICIES = ("abstain", "random", "true-random")
@@ -56,27 +57,48 @@ def preds_to_probs(preds: Column | str, cardinality: int) -> Column:
     """One-hot doubles; a prediction outside 0 .. cardinality - 1 raises."""
     p = _col(preds)
     hot = F.transform(F.sequence(F.lit(0), F.lit(cardinality - 1)), lambda c: (c == p).cast("double"))
-    return F.when((p < 0) | (p >= cardinality), F.raise_error(F.lit("Could not convert abstained vote to probability")).cast("array<double>")).otherwise(hot)
+    return F.when((p < 0) | (p >= cardinality), F.raise_error(F.lit("an abstention or a vote beyond the classes has no one-hot probabilities")).cast("array<double>")).otherwise(hot)
 
 
 def to_int_label(column: Column | str) -> Column:
     """An integer label; values with a fraction raise."""
     c = _col(column).cast("double")
-    return F.when(c != F.floor(c), F.raise_error(F.lit("Input contains at least one non-integer value."))).otherwise(c).cast("int")
+    return F.when(c != F.floor(c), F.raise_error(F.lit("a label is not a whole number"))).otherwise(c).cast("int")
 
 
-def range_part(df: DataFrame, column: str, parts: int = 64) -> Column:
+#: Rows of a range, about, and the most ranges.
+RANGE_ROWS, RANGES = 1_000_000, 1024
+
+
+def range_part(df: DataFrame, column: str, parts: int | None = None) -> Column:
     """The number of the range that a value lies in; ranges follow each other and hold about equally many rows.
 
-    The limits are at most ``4 * parts`` values, chosen by a hash, so the same
-    value gets the same number wherever and however often it is computed.
+    There is a range for each ``RANGE_ROWS`` rows, 64 at least and ``RANGES`` at
+    most. The limits are values, so the same value gets the same number wherever
+    and however often it is computed; a row finds its range by halving them.
     """
-    total = df.count()
-    some = df.select(column).where(F.col(column).isNotNull() & (F.pmod(F.xxhash64(column), F.lit(max(1, total // parts))) == 0))
-    limits = sorted(r[0] for r in some.distinct().limit(4 * parts).collect())
-    if not limits:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, limits)), lambda x: x <= F.col(column)))
+    numeric = isinstance(df.schema[column].dataType, T.NumericType)
+    if numeric:  # one pass: fine quantiles, of which as many are taken as are needed
+        shares = [k / RANGES for k in range(1, RANGES)]
+        total, found = df.agg(F.count(column), F.percentile_approx(column, shares, 10 * RANGES)).first()
+        found = found or []
+    else:
+        total = df.count()
+        some = df.select(column).where(F.col(column).isNotNull() & (F.pmod(F.xxhash64(column), F.lit(max(1, total // RANGES))) == 0))
+        found = [r[0] for r in some.distinct().limit(4 * RANGES).collect()]
+    limits = sorted({x for x in found if x == x})
+    parts = parts or min(RANGES, max(64, -(-total // RANGE_ROWS)))
+    step = max(1, len(limits) // parts)
+    limits = limits[step - 1 :: step]
+
+    def below(low: int, high: int) -> Column:
+        """How many of limits[low:high] the value reaches, plus ``low``."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col(column) >= F.lit(limits[middle]), below(middle + 1, high)).otherwise(below(low, middle))
+
+    return below(0, len(limits))
 
 
 def with_dense_index(df: DataFrame, id_col: str, name: str = "index") -> DataFrame:
@@ -101,9 +123,13 @@ def filter_labels(df: DataFrame, filters: dict[str, list]) -> DataFrame:
 
 
 def uniform(seed: int, *parts: Column | str | int) -> Column:
-    """A number in [0, 1) that depends on the seed and the parts alone, not on partitioning."""
-    cols = [F.lit(p) if isinstance(p, int) else _col(p) for p in parts]
-    return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    """A number in [0, 1) that depends on the seed and the parts alone, not on partitioning.
+
+    It is the first 52 bits of the SHA-1 of "seed:part:part ...", which any engine can repeat.
+    """
+    cols = [F.lit(str(p)) if isinstance(p, int) else F.coalesce(_col(p).cast("string"), F.lit("")) for p in parts]
+    digest = F.sha1(F.concat_ws(":", F.lit(str(seed)), *cols).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def softmax(scores: Column | str) -> Column:

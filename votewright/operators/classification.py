@@ -316,6 +316,37 @@ class SliceCombiner:
         return back, {}
 
 
+def with_base(slices: Iterable[str]) -> list[str]:
+    return ["base", *(s for s in slices if s != "base")]
+
+
+def convert_to_slice_tasks(task: Task, slices: list[str], size: int = 8, seed: int = 0) -> list[Task]:
+    """The tasks of a slice-aware version of a binary ``task`` whose last operation is a linear head.
+
+    For "base" and each slice there is a membership task ``{task}_slice:{slice}_ind``
+    and a prediction task ``..._pred`` over a transform of ``size`` features, with
+    one prediction head for all; the last task, of the task's own name, combines
+    the slices' features by attention. All share what precedes the head.
+    """
+    *entry, head = task.op_sequence
+    weights = task.module_pool[head.module_name].params["w"]
+    if weights.shape[1] != 2:
+        raise NotImplementedError("more than 2 classes are not implemented")
+    if len(set(slices)) != len(slices):
+        raise ValueError(f"slice names are not unique: {slices}")
+    body = {op.module_name: task.module_pool[op.module_name] for op in entry}
+    at, width = entry[-1].name, weights.shape[0]
+    shared, tasks = Linear(size, 2, seed + 77), []
+    for k, s in enumerate(with_base(slices)):
+        ind, pred = f"{task.name}_slice:{s}_ind", f"{task.name}_slice:{s}_pred"
+        tasks.append(Task(ind, {**body, f"{ind}_head": Linear(width, 2, seed + k)}, [*entry, Operation(f"{ind}_head", at)], Scorer(["f1"])))
+        ops = [*entry, Operation(f"{pred}_transform", at), Operation("pred_head", f"{pred}_transform", f"{pred}_head")]
+        tasks.append(Task(pred, {**body, f"{pred}_transform": MLP([width, size], seed + 100 + k, last_relu=True), "pred_head": shared}, ops, task.scorer))
+    ops = [op for t in tasks for op in t.op_sequence]
+    own = [*{o.name: o for o in ops}.values(), Operation("combiner", "_slices_"), Operation("master_head", "combiner", f"{task.name}_master")]
+    return [*tasks, Task(task.name, {"combiner": SliceCombiner(), "master_head": Linear(size, 2, seed + 78)}, own, task.scorer)]
+
+
 class SliceAwareClassifier(MultitaskClassifier):
     """A base task with a membership and a prediction head for "base" and each slice, and a combiner of their features.
 
@@ -324,18 +355,9 @@ class SliceAwareClassifier(MultitaskClassifier):
     """
 
     def __init__(self, base: str, body: Any, width: int, slices: list[str], size: int = 8, field_name: str = "x", scorer: Scorer | None = None, seed: int = 0):
-        self.base, self.slices = base, ["base", *(s for s in slices if s != "base")]
-        scorer = scorer or Scorer(["accuracy"])
-        entry = [Operation("body", ("_input_", field_name))]
-        shared, tasks = Linear(size, 2, seed + 77), []
-        for k, s in enumerate(self.slices):
-            ind, pred = f"{base}_slice:{s}_ind", f"{base}_slice:{s}_pred"
-            tasks.append(Task(ind, {"body": body, f"{ind}_head": Linear(width, 2, seed + k)}, [*entry, Operation(f"{ind}_head", "body")], Scorer(["f1"])))
-            ops = [*entry, Operation(f"{pred}_transform", "body"), Operation("pred_head", f"{pred}_transform", f"{pred}_head")]
-            tasks.append(Task(pred, {"body": body, f"{pred}_transform": MLP([width, size], seed + 100 + k, last_relu=True), "pred_head": shared}, ops, scorer))
-        ops = [op for t in tasks for op in t.op_sequence]
-        tasks.append(Task(base, {"combiner": SliceCombiner(), "master_head": Linear(size, 2, seed + 78)}, [*{o.name: o for o in ops}.values(), Operation("combiner", "_slices_"), Operation("master_head", "combiner", f"{base}_master")], scorer))
-        super().__init__(tasks, "SliceAwareClassifier")
+        self.base, self.slices = base, with_base(slices)
+        plain = Task(base, {"body": body, "head": Linear(width, 2, seed)}, [Operation("body", ("_input_", field_name)), Operation("head", "body")], scorer or Scorer(["accuracy"]))
+        super().__init__(convert_to_slice_tasks(plain, slices, size, seed), "SliceAwareClassifier")
 
     def _parts(self) -> list[tuple[str, str, str]]:
         b = f"{self.base}_slice:"
@@ -386,7 +408,7 @@ class SliceAwareClassifier(MultitaskClassifier):
 
 
 def demo_scores(spark: SparkSession, embeddings: DataFrame) -> DataFrame:
-    """Two tasks over the embedding table, trained on ids not divisible by 4 and scored on the others."""
+    """Two tasks over the embedding table, trained on a bounded sample of ids not divisible by 4; the whole table is scored, by split."""
     from ..config import TrainerConfig
     from .training import Trainer
 
@@ -396,5 +418,8 @@ def demo_scores(spark: SparkSession, embeddings: DataFrame) -> DataFrame:
     tasks = [Task(n, {"body": body, f"{n}_head": Linear(16, 2, seed=k)}, [Operation("body", ("_input_", "x")), Operation(f"{n}_head", "body")]) for k, n in enumerate(("parity", "sign"))]
     model = MultitaskClassifier(tasks)
     Trainer(TrainerConfig(n_epochs=10, lr=0.01)).fit(model, [train])
-    scores = model.score(frame.where("vec_id % 4 = 0"), {"x": "x"}, "vec_id", {"parity": "parity", "sign": "sign"}, "embeddings", "valid")
+    scored = model.predict(frame, {"x": "x"}, "vec_id", keep=["parity", "sign"])
+    split = scored.withColumns({"train": (F.col("vec_id") % 4 != 0).cast("int"), "valid": (F.col("vec_id") % 4 == 0).cast("int")})
+    found = {t: Scorer(["accuracy"]).score_slices(split, ["train", "valid"], t, f"{t}_pred") for t in ("parity", "sign")}
+    scores = {f"{t}/embeddings/{s}/{m}": v for t, by in found.items() for s, each in by.items() if s != "overall" for m, v in each.items()}
     return metrics_to_frame(spark, scores)

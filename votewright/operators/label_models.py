@@ -136,6 +136,22 @@ def pair_counts(votes: VoteFrame, cardinality: int) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+class TrainLogger:
+    """Counts epochs and logs metrics at every ``log_freq``-th, from the first on; never if that is 0."""
+
+    def __init__(self, log_freq: int):
+        self.log_freq, self.epochs = log_freq, 0
+
+    def check(self) -> bool:
+        self.epochs += 1
+        return bool(self.log_freq) and (self.epochs - 1) % self.log_freq == 0
+
+    def log(self, metrics: dict[str, float]) -> str:
+        line = f"epoch {self.epochs - 1}: " + ", ".join(f"{k}={v:.3f}" for k, v in metrics.items())
+        logger.info(line)
+        return line
+
+
 class LabelModel(BaseLabeler):
     """Accuracies of the functions and class probabilities, learned from agreements alone."""
 
@@ -162,6 +178,7 @@ class LabelModel(BaseLabeler):
         if c.lr_scheduler_config.warmup_steps and c.lr_scheduler_config.warmup_unit != "epochs":
             raise ValueError("the label model warms up in epochs; set warmup_unit to that")
         rate = lr_schedule(c.lr_scheduler, c.lr, c.n_epochs, 1, c.lr_scheduler_config)
+        log = TrainLogger(c.log_freq)
         with np.errstate(over="ignore", invalid="ignore"):
             for epoch in range(c.n_epochs):
                 loss, grad = self._loss(l2)
@@ -169,8 +186,8 @@ class LabelModel(BaseLabeler):
                     raise ArithmeticError("the loss is NaN; try a smaller learning rate")
                 optimizer.lr = rate(epoch)
                 optimizer.step(params, {"mu": grad})
-                if c.log_freq and epoch % c.log_freq == 0:
-                    logger.info("epoch %d: train/loss=%.3f", epoch, loss)
+                if log.check():
+                    log.log({"train/loss": loss})
         if not np.isfinite(self.mu).all():
             raise ArithmeticError("the loss is NaN; try a smaller learning rate")
         self._clamp(c.mu_eps)

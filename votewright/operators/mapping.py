@@ -33,9 +33,9 @@ def get_parameters(f, allow_args=False, allow_kwargs=False) -> list[str]:
     """Names of the arguments of ``f``; *args and **kwargs raise unless allowed."""
     kinds = inspect.signature(f).parameters.values()
     if not allow_args and any(p.kind is p.VAR_POSITIONAL for p in kinds):
-        raise ValueError(f"{f} should not have *args")
+        raise ValueError(f"{f} takes *args, which names no argument")
     if not allow_kwargs and any(p.kind is p.VAR_KEYWORD for p in kinds):
-        raise ValueError(f"{f} should not have **kwargs")
+        raise ValueError(f"{f} takes **kwargs, which names no argument")
     return [p.name for p in kinds if p.kind not in (p.VAR_POSITIONAL, p.VAR_KEYWORD)]
 
 

@@ -83,11 +83,9 @@ def roc_auc(df: DataFrame, gold: str, probs: str, *by: str) -> DataFrame:
     distinct scores of a range, with the totals of the ranges before it added,
     so no task sees all scores. Null where a class is missing.
     """
-    if df.where(F.size(probs) != 2).limit(1).count():
-        raise ValueError("roc_auc needs two classes")
-    score = F.get(probs, F.lit(1))
+    score = F.when(F.size(probs) == 2, F.get(probs, F.lit(1))).otherwise(F.raise_error(F.lit("roc_auc needs two classes")).cast("double"))
     counts = df.groupBy(*by, score.alias("score")).agg(F.count_if(F.col(gold) == 1).alias("pos"), F.count_if(F.col(gold) != 1).alias("neg"))
-    parts = counts.withColumn("part", range_part(counts, "score"))
+    parts = counts.withColumn("part", range_part(df.select(score.alias("score")), "score"))
     sums = parts.groupBy(*by, "part").agg(F.sum("neg").alias("part_neg"))
     over = Window.partitionBy(*by, F.lit(1)).orderBy("part")
     before = sums.select(*by, "part", (F.sum("part_neg").over(over) - F.col("part_neg")).alias("before"))  # a row for each range

@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .labeling import LabelingFunction
 from .mapping import Preprocessor, missing_parentheses
 from .slicing import SlicingFunction
 
-DOC = "struct<tokens:array<struct<text:string,lower:string,start:int,is_alpha:boolean>>,ents:array<struct<text:string,label:string>>>"
+DOC = "struct<tokens:array<struct<text:string,lower:string,start:int,is_alpha:boolean,lemma:string,pos:string,is_punct:boolean,like_num:boolean>>,ents:array<struct<text:string,label:string>>>"
+#: Parts of a parse that can be left out.
+PARTS = ("ents", "lemma", "pos")
+ENDINGS = (("ies", "y"), ("sses", "ss"), ("ing", ""), ("ed", ""), ("s", ""))
 TOKEN = re.compile(r"\w+|[^\w\s]")
 NAME = re.compile(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\b")
 
@@ -23,11 +25,30 @@ Parser = Callable[[str], dict[str, Any]]
 
 
 def simple_parser(text: str) -> dict[str, Any]:
-    """Words and signs as tokens; runs of capitalised words as entities of kind NAME."""
-    tokens = [{"text": t[0], "lower": t[0].lower(), "start": t.start(), "is_alpha": t[0].isalpha()} for t in TOKEN.finditer(text)]
+    """Words and signs as tokens, with lemmas and parts of speech by rule; runs of capitalised words as entities of kind NAME."""
+    tokens = []
+    for t in TOKEN.finditer(text):
+        word = t[0]
+        number, sign = word.replace("_", "").isnumeric(), not re.match(r"\w", word)
+        pos = "PUNCT" if sign else "NUM" if number else "PROPN" if word[0].isupper() and t.start() else "X"
+        tokens.append({"text": word, "lower": word.lower(), "start": t.start(), "is_alpha": word.isalpha(), "lemma": lemma(word.lower()), "pos": pos, "is_punct": sign, "like_num": number})
     return {"tokens": tokens, "ents": [{"text": e[0], "label": "NAME"} for e in NAME.finditer(text)]}
 
 
+def lemma(word: str) -> str:
+    """An English word without its commonest endings, if three letters stay; a rule, not a dictionary."""
+    for ending, instead in ENDINGS:
+        if word.isalpha() and word.endswith(ending) and not word.endswith("ss") and len(word) - len(ending) + len(instead) >= 3:
+            return word[: len(word) - len(ending)] + instead
+    return word
+
+
+def without_parts(doc: dict[str, Any], disable: tuple[str, ...]) -> dict[str, Any]:
+    """A parse whose disabled parts are empty."""
+    tokens = [{k: None if k in disable else v for k, v in t.items()} for t in doc["tokens"]]
+    return {"tokens": tokens, "ents": [] if "ents" in disable else doc["ents"]}
+
+
 #: Parsers by language; a third-party pipeline is plugged in as a function that makes a parser once in each worker.
 PARSERS: dict[str, Callable[[], Parser]] = {"simple": lambda: simple_parser}
 
@@ -37,22 +58,25 @@ class NLPSettings:
     text_field: str = "text"
     doc_field: str = "doc"
     language: str = "simple"
+    disable: tuple[str, ...] = ()
 
 
-def nlp_preprocessor(settings: NLPSettings | None = None, **kw: Any) -> Preprocessor:
-    """A preprocessor that adds the parsed ``doc_field`` (struct of tokens and entities)."""
+def nlp_preprocessor(settings: NLPSettings | None = None, pre: list[Preprocessor] | None = None, **kw: Any) -> Preprocessor:
+    """A preprocessor that adds the parsed ``doc_field`` (struct of tokens and entities); ``pre`` run before it."""
     s = settings or NLPSettings(**kw)
     if s.language not in PARSERS:
         raise ValueError(f"no parser for {s.language}; add one to PARSERS")
-    make = PARSERS[s.language]
+    if unknown := set(s.disable) - set(PARTS):
+        raise ValueError(f"no parts of a parse: {sorted(unknown)}; known are {PARTS}")
+    make, disable = PARSERS[s.language], tuple(s.disable)
     ready: list[Parser] = []
 
     def parse(pdf: pd.DataFrame) -> pd.DataFrame:
         if not ready:
             ready.append(make())
-        return pd.DataFrame({s.doc_field: [None if t is None else ready[0](t) for t in pdf[s.text_field]]}, index=pdf.index)
+        return pd.DataFrame({s.doc_field: [None if t is None else without_parts(ready[0](t), disable) for t in pdf[s.text_field]]}, index=pdf.index)
 
-    return Preprocessor(f"nlp_{s.doc_field}", parse, "pandas", [s.text_field], f"{s.doc_field} {DOC}")
+    return Preprocessor(f"nlp_{s.doc_field}", parse, "pandas", [s.text_field], f"{s.doc_field} {DOC}", pre=pre or [])
 
 
 _SHARED: dict[type, tuple[NLPSettings, Preprocessor]] = {}
@@ -63,7 +87,7 @@ def _shared(kind: type, settings: NLPSettings) -> Preprocessor:
     if kind not in _SHARED:
         _SHARED[kind] = (settings, nlp_preprocessor(settings))
     if _SHARED[kind][0] != settings:
-        raise ValueError(f"{kind.__name__} already configured with different parameters: {_SHARED[kind][0]}")
+        raise ValueError(f"{kind.__name__} is in use with different parameters: {_SHARED[kind][0]}")
     return _SHARED[kind][1]
 
 
@@ -90,11 +114,3 @@ def nlp_slicing_function(name: str | None = None, inputs: list[str] | None = Non
 def token_column(text: str = "text"):
     """Lower-case words of a text, without Python."""
     return F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-
-
-def doc_type() -> T.DataType:
-    return T._parse_datatype_string(DOC)
-
-
-def iterate(docs: Iterator[str], parser: Parser = simple_parser) -> Iterator[dict[str, Any]]:
-    return map(parser, docs)

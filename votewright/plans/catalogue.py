@@ -6,8 +6,10 @@ where a document has none. Every oracle starts from the same CASE expressions.
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -18,7 +20,8 @@ from ..operators import synthetic
 from ..operators.analysis import LFAnalysis
 from ..operators.label_models import LabelModel, MajorityClassVoter, MajorityLabelVoter, RandomVoter, pair_counts, posterior
 from ..operators.labeling import VoteFrame, apply_lfs, filter_unlabeled, labeling_function
-from ..operators.mapping import Mapper, apply_mappers, column_mapper
+from ..operators.classification import MLP, Linear, Operation, Task, convert_to_slice_tasks
+from ..operators.mapping import Mapper, apply_mappers, column_mapper, lambda_mapper, preprocessor
 from ..operators.nlp import nlp_labeling_function, token_column
 from ..sources.tables import read_table, with_gold
 from ..streaming.votes import windowed_coverage
@@ -162,11 +165,12 @@ def majority_class(spark, d):
 
 
 def random_voter(spark, d):
-    return RandomVoter(3, seed=4).predict_proba(votes(spark, d)).select("doc_id", "probs")
+    return RandomVoter(3, seed=4).predict_proba(votes(spark, d)).select("doc_id", *[F.col("probs")[c].alias(f"p{c}") for c in range(3)])
 
 
 def unlabeled_filtered(spark, d):
-    return filter_unlabeled(read_table(spark, d, "documents"), votes(spark, d)).select("doc_id", "n_chars")
+    docs = read_table(spark, d, "documents")
+    return filter_unlabeled(docs, apply_lfs(docs, LFS, "doc_id", docs.columns)).select("doc_id", "n_chars")
 
 
 #: P(vote | class) of the sample functions, functions x votes by class, for scoring with fixed parameters.
@@ -193,8 +197,33 @@ def label_model_weights(spark, d):
 
 
 def class_balance(spark, d):
-    counts = gold_documents(spark, d).where("gold >= 0").groupBy("gold").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("gold", (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))).alias("share"))  # a row for each class
+    shares = LabelModel(2).balance(None, gold_documents(spark, d).select("gold"))
+    return spark.createDataFrame([(y, float(p)) for y, p in enumerate(shares)], "gold int, share double")
+
+
+def labeler_score(spark, d):
+    scores = MajorityLabelVoter(2).score(votes(spark, d, True), "gold", ["accuracy", "coverage", "f1"], "random")
+    return spark.createDataFrame([(scores["accuracy"], scores["coverage"], scores["f1"])], "accuracy double, coverage double, f1 double")
+
+
+def saved_voter(spark, d):
+    with tempfile.TemporaryDirectory() as folder:  # parameters are the driver's
+        MajorityClassVoter().fit([0.2, 0.8]).save(f"{folder}/voter.json")
+        voter = MajorityClassVoter().load(f"{folder}/voter.json")
+    return voter.predict_proba(votes(spark, d)).select("doc_id", F.col("probs")[0].alias("p0"), F.col("probs")[1].alias("p1"))
+
+
+def conditional_probs(spark, d):
+    model = LabelModel(2)
+    model.m, model.mu = M_LFS, np.array(FIXED_CPT).reshape(-1, 2)
+    p = model.get_conditional_probs()
+    rows = [(j, v - 1, y, float(p[j, v, y])) for j in range(M_LFS) for v in range(3) for y in range(2)]
+    return spark.createDataFrame(rows, "j int, vote int, y int, prob double").withColumn("prob", F.round("prob", 6))
+
+
+def scorer_slices(spark, d):
+    by = M.Scorer(["accuracy", "coverage", "f1"]).score_slices(predicted(spark, d), SLICES, "gold", "pred")
+    return spark.createDataFrame([(s, m["accuracy"], m["coverage"], m["f1"]) for s, m in by.items()], "slice string, accuracy double, coverage double, f1 double")
 
 
 def _metric(name, **kw):
@@ -274,6 +303,51 @@ def soft_cross_entropy(spark, d):
     return ev.select("vec_id", F.round(each, 6).alias("loss"))
 
 
+def soft_loss(spark, d):
+    ev = read_table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 3).cast("array<double>").alias("z"), F.array(F.lit(0.2), F.lit(0.5), F.lit(0.3)).alias("t"))
+    parts = [L.soft_loss(ev, "z", "t", [1.0, 2.0, 0.5], r).select(F.lit(r).alias("reduction"), F.round("loss", 6).alias("loss")) for r in ("mean", "sum")]
+    return parts[0].unionByName(parts[1])
+
+
+def int_labels(spark, d):
+    return read_table(spark, d, "labels").select("doc_id", L.to_int_label(F.col("toxic") * 1.0).alias("toxic"))
+
+
+def lambda_mapped(spark, d):
+    @lambda_mapper(outputs="twice long, tag string")
+    def twice(x):
+        return {"twice": 2 * x.n_chars, "tag": f"{x.lang}/{x.source}"}
+
+    return apply_mappers(read_table(spark, d, "documents").select("doc_id", "n_chars", "lang", "source"), [twice]).select("doc_id", "twice", "tag")
+
+
+@preprocessor(outputs="parity int")
+def parity(n_chars):
+    return {"parity": n_chars % 2}
+
+
+@labeling_function(kind="row", inputs=["n_chars"], pre=[parity])
+def lf_parity(x):
+    return x.parity if x.n_chars > 300 else -1
+
+
+def preprocessed_votes(spark, d):
+    return apply_lfs(read_table(spark, d, "documents"), [lf_parity], "doc_id").wide()
+
+
+@labeling_function(kind="pandas", inputs=["doc_id"])
+def lf_breaks(x):
+    if (x.doc_id % 13 == 0).any():
+        raise ArithmeticError("thirteen")
+    return x.doc_id % 2
+
+
+def batch_faults(spark, d):
+    """A function that fails on some rows loses those alone, however rows are batched."""
+    v = apply_lfs(read_table(spark, d, "documents"), [lf_en, lf_breaks], "doc_id", fault_tolerant=True)
+    return v.df.select("doc_id", F.col("votes")[1].alias("vote"), F.col("faults")[1].alias("fault"))
+
+
 def softmax_probs(spark, d):
     ev = read_table(spark, d, "embeddings").select("vec_id", L.softmax(F.slice("embedding", 1, 2).cast("array<double>")).alias("p"))
     return ev.select("vec_id", F.round(F.col("p")[0], 6).alias("p0"), F.round(F.col("p")[1], 6).alias("p1"))
@@ -355,12 +429,28 @@ def augment_sampled(spark, d):
     return aug.apply_tfs(read_table(spark, d, "documents").select("doc_id", "n_chars"), [PLUS, SQUARE], policy, "doc_id")
 
 
+def augment_generator(spark, d):
+    """How many frames, rows and characters the generator gives; the driver holds one frame at a time."""
+    docs = read_table(spark, d, "documents").select("doc_id", "n_chars")
+    frames = rows = chars = 0
+    for frame in aug.apply_generator(docs, [PLUS, SQUARE], aug.ApplyEachPolicy(2), "doc_id", 500):
+        frames, rows, chars = frames + 1, rows + len(frame), chars + int(frame["n_chars"].sum())
+    return spark.createDataFrame([(frames, rows, chars)], "frames long, n_rows long, chars long")
+
+
 def augment_random(spark, d):
     return aug.apply_tfs(read_table(spark, d, "documents").select("doc_id", "n_chars"), [PLUS, SQUARE], aug.RandomPolicy(2, 2, 2, seed=3), "doc_id")
 
 
 def synthetic_matrix(spark, d):
-    return synthetic.synthetic_votes(spark, 1000, 5, 3, 1.0, seed=2)[1]
+    return synthetic.synthetic_votes(spark, 1000, 5, 3, 1.0, seed=2)[1].select("id", "gold", *[F.col("votes")[j].alias(f"v{j}") for j in range(5)])
+
+
+def slice_tasks(spark, d):
+    """The tasks that a binary task and two slices are turned into, and their operations in order."""
+    head = Task("quality", {"body": MLP([2, 4], last_relu=True), "head": Linear(4, 2)}, [Operation("body", ("_input_", "x")), Operation("head", "body")])
+    tasks = convert_to_slice_tasks(head, ["s_short", "s_en"])
+    return spark.createDataFrame([(t.name, len(t.op_sequence), t.op_sequence[-1].name) for t in tasks], "task string, n_ops int, last string")
 
 
 @labeling_function()
@@ -426,6 +516,35 @@ def _summary(extra_from: str, extra: str) -> str:
     )
 
 
+def _uniform(seed: int, *parts) -> str:
+    """The library's seeded uniform number: the first 52 bits of a SHA-1."""
+    text = " || ':' || ".join([f"'{seed}'", *[f"({p})::VARCHAR" for p in parts]])
+    return f"(('0x' || substr(sha1({text}), 1, 13))::BIGINT::DOUBLE / {float(1 << 52)!r}::DOUBLE)"
+
+
+def _sampled_sql(seed: int, first: float, length: int, copies: int) -> str:
+    """Original rows, and copies on which plus (drawn with probability ``first``) and square (where even, and no overflow) were applied."""
+    square = "TRY_CAST(x::HUGEINT * x::HUGEINT AS BIGINT)"
+    parts = ["SELECT doc_id, n_chars, 0::INTEGER AS aug_idx FROM documents"]
+    for rep in range(copies):
+        inner = f"SELECT doc_id, {rep} AS rep, n_chars::BIGINT AS x, false AS done FROM documents"
+        for place in range(length):
+            plus = f"{_uniform(seed, 'doc_id', rep, place)} < {first!r}::DOUBLE"
+            inner = f"SELECT doc_id, rep, CASE WHEN {plus} THEN x + 1 WHEN x % 2 = 0 THEN coalesce({square}, x) ELSE x END AS x, done OR {plus} OR (x % 2 = 0 AND {square} IS NOT NULL) AS done FROM ({inner})"
+        parts.append(f"SELECT doc_id, x, {rep + 1}::INTEGER FROM ({inner}) WHERE done")
+    return " UNION ALL ".join(parts)
+
+
+def _synthetic_sql(n: int, m: int, k: int, abstain: float, seed: int) -> str:
+    sums = synthetic.random_cpts(m, k, abstain, np.random.RandomState(seed)).cumsum(axis=1)
+    cases = []
+    for j in range(m):
+        u = _uniform(seed, "id", j)
+        inner = [f"WHEN gold = {y} THEN CASE " + " ".join(f"WHEN {u} < {float(sums[j, v, y])!r}::DOUBLE THEN {v - 1}" for v in range(k)) + f" ELSE {k - 1} END" for y in range(k)]
+        cases.append(f"(CASE {' '.join(inner)} END)::INTEGER AS v{j}")
+    return f"WITH r AS (SELECT id, floor({_uniform(seed, 'id', -1)} * {k})::INTEGER AS gold FROM range({n}) t(id)) SELECT id, gold, {', '.join(cases)} FROM r"
+
+
 def _augment_sql(*parts: str) -> str:
     return " UNION ALL ".join(parts)
 
@@ -448,7 +567,9 @@ def queries():
         "rows_mapped_to_none": rows_mapped_to_none, "python_votes": python_votes, "fault_counts": fault_counts, "nlp_votes": nlp_votes, "token_counts": token_counts,
         "augment_apply_all": _augmented(aug.ApplyAllPolicy(2, keep_original=False)), "augment_apply_each": _augmented(aug.ApplyEachPolicy(2)), "augment_apply_one": _augmented(aug.ApplyOnePolicy(2)),
         "augment_none_skip": augment_python, "augment_sampled": augment_sampled, "augment_random": augment_random, "synthetic_matrix": synthetic_matrix, "lineitem_votes": lineitem_votes,
-        "event_windows": event_windows, "multitask_training": multitask_training,
+        "event_windows": event_windows, "multitask_training": multitask_training, "labeler_score": labeler_score, "saved_voter": saved_voter, "conditional_probs": conditional_probs,
+        "scorer_slices": scorer_slices, "soft_loss": soft_loss, "int_labels": int_labels, "lambda_mapped": lambda_mapped, "preprocessed_votes": preprocessed_votes, "batch_faults": batch_faults,
+        "augment_generator": augment_generator, "slice_tasks": slice_tasks,
     }
     for name in METRIC_SQL:
         found[f"metric_{name}"] = _metric(name, **({"beta": 2.0} if name == "fbeta" else {}))
@@ -461,6 +582,7 @@ def oracle_sql():
     head = lambda k: f"SELECT vec_id, {k} AS k, 1 / (1 + exp(embedding[{2 * k + 1}]::DOUBLE - embedding[{2 * k + 2}]::DOUBLE)) * (1 / (1 + exp(embedding[{k + 1}]::DOUBLE - embedding[{k + 5}]::DOUBLE))) AS a, embedding[{k + 1}]::DOUBLE AS f0, {k}::DOUBLE AS f1 FROM embeddings"
     z = [f"embedding[{k}]::DOUBLE" for k in (1, 2, 3)]
     lse = f"ln({' + '.join(f'exp({x})' for x in z)})"
+    draws = ", ".join(f"{_uniform(4, 'doc_id', c)} AS u{c}" for c in range(3)) + " FROM documents"
     sql = {
         "lf_apply": f"SELECT doc_id, {', '.join(f'({c})::INTEGER AS {n}' for c, n in zip(CASES, NAMES, strict=True))} FROM documents",
         "lf_coverage_overlap_conflict": f"WITH {VOTES}, {LONG}, {STATS} SELECT count(*) FILTER (n_cast >= 1) / count(*)::DOUBLE AS coverage, count(*) FILTER (n_cast >= 2) / count(*)::DOUBLE AS overlap, count(*) FILTER (n_kinds >= 2) / count(*)::DOUBLE AS conflict FROM st",
@@ -504,6 +626,23 @@ def oracle_sql():
         "augment_apply_one": _augment_sql(_D.format("0::INTEGER"), f"SELECT doc_id, {PLUS_SQL}, 1::INTEGER FROM documents", f"SELECT doc_id, {PLUS_SQL}, 2::INTEGER FROM documents"),
         "augment_none_skip": _augment_sql(_D.format("0::INTEGER"), "SELECT doc_id, n_chars // 2, 1::INTEGER FROM documents WHERE n_chars % 2 = 0"),
         "lineitem_votes": "WITH v AS (SELECT CASE WHEN l_discount > 0.05 THEN 1 ELSE -1 END AS a, CASE WHEN l_quantity < 10 THEN 0 WHEN l_quantity > 40 THEN 1 ELSE -1 END AS b, CASE WHEN l_returnflag = 'R' THEN 0 ELSE -1 END AS c FROM lineitem), s AS (SELECT *, (a >= 0)::INTEGER + (b >= 0)::INTEGER + (c >= 0)::INTEGER AS n, (a = 1 OR b = 1) AND (b = 0 OR c = 0) AS x FROM v) " + " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) FILTER ({k} >= 0) AS n_votes, count(*) FILTER ({k} >= 0 AND n >= 2) AS n_overlaps, count(*) FILTER ({k} >= 0 AND x) AS n_conflicts FROM s" for n, k in (("lf_discount", "a"), ("lf_quantity", "b"), ("lf_flag", "c"))),
+        "random_voter": f"WITH u AS (SELECT doc_id, {draws}) SELECT doc_id, u0 / (u0 + u1 + u2) AS p0, u1 / (u0 + u1 + u2) AS p1, u2 / (u0 + u1 + u2) AS p2 FROM u",
+        "nlp_votes": r"SELECT doc_id, (len(list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '\p{L}+'))) % 3)::INTEGER AS lf_words FROM documents",
+        "token_counts": r"SELECT item_id, len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS n FROM benchmark",
+        "augment_sampled": _sampled_sql(9, 0.25, 3, 2),
+        "augment_random": _sampled_sql(3, 0.5, 2, 2),
+        "augment_generator": "WITH r AS (SELECT n_chars AS c FROM documents UNION ALL SELECT n_chars + 1 FROM documents UNION ALL SELECT n_chars * n_chars FROM documents WHERE n_chars % 2 = 0) SELECT ceil(count(*) / 500.0)::BIGINT AS frames, count(*) AS n_rows, sum(c)::BIGINT AS chars FROM r",
+        "synthetic_matrix": _synthetic_sql(1000, 5, 3, 1.0, 2),
+        "labeler_score": f"SELECT a.accuracy, c.coverage, f.f1 FROM ({METRIC_SQL['accuracy']}) a, ({METRIC_SQL['coverage']}) c, ({METRIC_SQL['f1']}) f",
+        "saved_voter": "SELECT doc_id, 0.0::DOUBLE AS p0, 1.0::DOUBLE AS p1 FROM documents",
+        "conditional_probs": "SELECT * FROM (VALUES " + ", ".join(f"({j}::INTEGER, {v}::INTEGER, {y}::INTEGER, round({(1 - FIXED_CPT[j][0][y] - FIXED_CPT[j][1][y]) if v < 0 else FIXED_CPT[j][v][y]!r}::DOUBLE, 6))" for j in range(M_LFS) for v in (-1, 0, 1) for y in (0, 1)) + ") t(j, vote, y, prob)",
+        "soft_loss": f"WITH e AS (SELECT 0.2 * ({lse} - {z[0]}) + 2.0 * 0.5 * ({lse} - {z[1]}) + 0.5 * 0.3 * ({lse} - {z[2]}) AS x FROM embeddings) SELECT 'mean' AS reduction, round(avg(x), 6)::DOUBLE AS loss FROM e UNION ALL SELECT 'sum', round(sum(x), 6)::DOUBLE FROM e",
+        "int_labels": "SELECT doc_id, toxic::INTEGER AS toxic FROM labels",
+        "lambda_mapped": "SELECT doc_id, 2 * n_chars AS twice, lang || '/' || source AS tag FROM documents",
+        "preprocessed_votes": "SELECT doc_id, CASE WHEN n_chars > 300 THEN n_chars % 2 ELSE -1 END::INTEGER AS lf_parity FROM documents",
+        "batch_faults": "SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN -1 ELSE doc_id % 2 END::INTEGER AS vote, (doc_id % 13 = 0)::INTEGER AS fault FROM documents",
+        "slice_tasks": "SELECT * FROM (VALUES " + ", ".join(f"('quality_slice:{s}_ind', 2::INTEGER, 'quality_slice:{s}_ind_head'), ('quality_slice:{s}_pred', 3::INTEGER, 'quality_slice:{s}_pred_head')" for s in ("base", "s_short", "s_en")) + ", ('quality', 12::INTEGER, 'quality_master')) t(task, n_ops, last)",
         "event_windows": "WITH v AS (SELECT date_trunc('day', ts)::TIMESTAMP AS w, event_type = 'purchase' AS a, value > 50 AS b FROM events) SELECT w AS window_start, w + INTERVAL 1 DAY AS window_end, count(*) AS n, count(*) FILTER (a OR b) AS covered, count(*) FILTER (a AND b) AS conflicts FROM v GROUP BY w",
     }
+    sql["scorer_slices"] = f"SELECT slice, accuracy, coverage, f1 FROM ({sql['score_slices']})"
     return sql | {f"metric_{k}": v for k, v in METRIC_SQL.items()}
