@@ -221,9 +221,9 @@ def thinned(table: DataFrame, column: Column, wanted: DataFrame, key: Column) ->
     return table.join(F.broadcast(words), F.shiftright(mine, 6) == F.col("_word")).where(F.getbit("_bits", mine.bitwiseAND(F.lit(63))) == 1).drop("_word", "_bits")
 
 
-def small(table: DataFrame) -> DataFrame:
-    """A written, narrow ``table``, to be broadcast in a join if it has at most ``SMALL_ROWS`` rows; else the join shuffles."""
-    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
+def small(table: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A written, narrow ``table``, to be broadcast in a join if it has at most so many ``rows``; else the join shuffles."""
+    return F.broadcast(table) if table.count() <= rows else table
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
