@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 from votewright.llm import license_rules, licenses, secrets
 
@@ -116,3 +118,58 @@ def test_every_rule_finds_its_sample(spark):
     assert got[-1] == ["mit", "x11"] and got[-2] == ["gpl-1.0"]
     missed = [(label, samples[n], got[n]) for n, label, _, _, _ in table if label not in got[n]]
     assert not missed
+
+
+def markov(text, table):
+    n, out = len(secrets.ALPHABET), []
+    for m in re.finditer("[A-Za-z0-9+/_=-]{12,}", text):
+        at = [secrets.ALPHABET.index(c) for c in m[0]]
+        if sum(table[a * n + b] for a, b in zip(at[:-1], at[1:], strict=True)) > secrets.MARGIN:
+            out.append(f"markov:{m.start()}:{m.end()}")
+    return out
+
+
+def test_markov_spans_against_brute_force(spark):
+    rng = random.Random(4)
+    kinds = [string.ascii_letters + string.digits, "0123456789abcdef", string.ascii_uppercase + "234567", secrets.ALPHABET]
+    drawn = ["".join(rng.choice(rng.choice(kinds) if k % 3 else kinds[0]) for _ in range(n)) for k, n in enumerate([11, 12, 16, 20, 24, 32, 40, 64, 270, 3000] * 6)]
+    plain = ["get_user_name", "internationalization", "com/example/project", "x" * 300, "responsibilities-and-requirements"]
+    rows = [(i, " é ".join(rng.choice(drawn + plain) for _ in range(rng.randint(0, 6)))) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    table = secrets.log_ratios(frame)
+    got = {r.doc_id: r.spans for r in secrets.scan(frame).collect()}
+    for i, t in rows:
+        assert [s for s in got[i].split(",") if s.startswith("markov")] == markov(t, table), t
+
+
+def test_markov_models_tell_secrets_from_identifiers(spark):
+    rng = random.Random(5)
+    say = ["the quick brown fox", "les responsabilites", "Rechtsschutzversicherung", "some_longer_identifier_name", "src/main/java/application"]
+    frame = spark.createDataFrame([(i, rng.choice(say) + " " + rng.choice(say)) for i in range(200)], "doc_id long, text string")
+    table = secrets.log_ratios(frame)
+    letters = string.ascii_letters + string.digits
+    for n in (16, 20, 24, 40, 270):
+        drawn = ["".join(rng.choice(letters) for _ in range(n)) for _ in range(200)]
+        assert sum(bool(markov(x, table)) for x in drawn) >= 180, n
+    plain = ["read_configuration_from_file", "HttpConnectionManager", "usr/share/documentation", "maximumRetryCount", "user-interface-components", "DatabaseConnectionPool", "a" * 40, "=" * 80]
+    assert not [x for x in plain if markov(x, table)]
+
+
+def test_suppression_against_brute_force(spark):
+    rng = random.Random(6)
+    table = license_rules.rules()
+    samples = [shortest(re._parser.parse(x)) for *_, x in table] + [p for _, p in licenses.BASE]
+    rows = [(i, " ".join(rng.choice([*rng.sample(samples, 3), "or", "and later"]) for _ in range(rng.randint(1, 9)))) for i in range(150)]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        norm = " " + re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", text.lower()).strip() + " "
+        places = [(m.start(), m.end(), p, n, label) for n, label, p, k, x in table if k in norm for m in re.finditer(f" (?:{x})(?= )", norm)]
+
+        def beats(y, x):
+            inside = y[0] <= x[0] and y[1] >= x[1]
+            return inside and (y[2] > x[2] or y[2] == x[2] and (y[0], -y[1], y[3]) < (x[0], -x[1], x[3]))
+
+        left = [x for x in places if not any(beats(y, x) for y in places if y is not x)]
+        base = {label for label, p in licenses.BASE if f" {p} " in norm}
+        best = max([x[2] for x in left], default=0)
+        assert got[i] == (",".join(sorted({x[4] for x in left} | base)), 1.0 if base else licenses.WEIGHT.get(best, 0.0)), text

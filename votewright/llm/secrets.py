@@ -2,17 +2,18 @@
 
 Two bigram models over the characters of a run, one of random strings and one
 of ordinary identifiers and words, are compared by their log-likelihood ratio;
-a run of 20 to 256 characters whose ratio exceeds ``MARGIN`` nats is a span of
-kind ``markov``. Longer runs are judged in parts of 256 characters. Random
-strings are drawn by hashing counters, ordinary ones are a labelled list and
-the words of a bounded sample of documents.
+a run of at least 12 characters, taken whole, whose ratio exceeds ``MARGIN``
+nats is a span of kind ``markov``. Random strings are drawn by hashing counters,
+ordinary ones are a labelled list and the words of a bounded sample of documents.
 
 Everything runs in DataFrame functions: the patterns' places come from running
 sums over split pieces, the models are a table of at most 65 * 65 log ratios.
 
 Defined results: a null text is empty and has no spans; the digest of no spans
-is that of the empty string. Rows that repeat an id and a text get the same
-answer each. Further columns are ignored.
+is that of the empty string. Texts are scanned whole, however long. Rows that
+repeat an id and a text, and rows without an id, get the same answer each. Spans
+that start together stand in the order of their kinds. Further columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ASSIGN_NEAR = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]"""
 ACCESS = "AKIA[A-Z0-9]{14,}"  # all runs of 18 or more; shorter ones hold no longer one
 HEX = "[0-9a-f]{16,}"
-RUN = "[A-Za-z0-9+/_=-]{20,256}"
+RUN, RUN_NEAR = "[A-Za-z0-9+/_=-]{12,}", "[A-Za-z0-9+/_=-]{12}"
 KINDS = ["assign", "access", "hex", "markov"]
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -39,6 +40,8 @@ MARGIN = 12.0
 #: Random strings drawn, and documents whose words are learned from.
 RANDOM_STRINGS = 3000
 SAMPLE_DOCUMENTS = 2000
+#: How often each listed identifier counts.
+LISTED_WEIGHT = 200
 
 IDENTIFIERS = """
 get_user_name setDefaultValue application_configuration HttpRequestHandler maximum-connection-count
@@ -53,7 +56,11 @@ __init_subclass__ numpy_array_from_buffer convolutional_neural_network stochasti
 AbstractSingletonProxyFactoryBean internationalization_and_localization characterEncodingFilter
 pneumonoultramicroscopic responsibilities-and-requirements Donaudampfschifffahrtsgesellschaft
 contraintes_environnementales desenvolvimiento_extraordinario Rechtsschutzversicherungsgesellschaften
-""".split() + [c * 24 for c in "=-_0"]
+""".split()
+
+
+#: Runs of one character are ordinary too.
+IDENTIFIERS += [c * 24 for c in ALPHABET]
 
 
 def log_ratios(documents: DataFrame, strings: int = RANDOM_STRINGS, rows: int = SAMPLE_DOCUMENTS) -> list[float]:
@@ -73,13 +80,14 @@ def log_ratios(documents: DataFrame, strings: int = RANDOM_STRINGS, rows: int =
     random = spark.range(0, strings, 1, 2).select(F.explode(F.array(*shapes)).alias("run"))
     share = documents.select(F.count(F.lit(1))).first()[0]
     keep = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)), F.lit(1 << 30)) <= int(min(1.0, rows / max(share, 1)) * (1 << 30))
-    text = F.substring(F.coalesce(F.col("text").cast("string"), F.lit("")), 1, 4000)  # a bound on the training sample
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = documents.where(keep).limit(2 * rows).select(F.explode(F.regexp_extract_all(text, F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("run"))
-    listed = spark.createDataFrame([(w,) for w in IDENTIFIERS for _ in range(200)], "run string")
-    both = random.withColumn("is_random", F.lit(True)).unionByName(words.unionByName(listed).withColumn("is_random", F.lit(False)))
+    listed = spark.range(0, 1, 1, 1).select(F.explode(F.split(F.lit(" ".join(IDENTIFIERS)), " ")).alias("run"))
+    weighed = lambda df, is_random, weight: df.select("run", F.lit(is_random).alias("is_random"), F.lit(weight).alias("weight"))
+    both = weighed(random, True, 1).unionByName(weighed(words, False, 1)).unionByName(weighed(listed, False, LISTED_WEIGHT))
     code = F.transform(F.split("run", ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    pairs = both.select("is_random", code.alias("codes")).select("is_random", F.explode(_pairs(F.col("codes"))).alias("pair")).where("pair >= 0")
-    counts = {(r.is_random, r.pair): r.n for r in pairs.groupBy("is_random", "pair").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 2 n n rows
+    pairs = both.select("is_random", "weight", code.alias("codes")).select("is_random", "weight", F.explode(_pairs(F.col("codes"))).alias("pair")).where("pair >= 0")
+    counts = {(r.is_random, r.pair): r.n for r in pairs.groupBy("is_random", "pair").agg(F.sum("weight").alias("n")).collect()}  # at most 2 n n rows
     out = []
     for a in range(n):
         totals = {k: sum(counts.get((k, a * n + b), 0) for b in range(n)) + 0.5 * n for k in (True, False)}
@@ -103,12 +111,12 @@ def scan(documents: DataFrame, margin: float = MARGIN) -> DataFrame:
     table = constant(log_ratios(documents), "double")
     text = F.col("text")
     none = F.array().cast("array<struct<before:int,match:string>>")
-    searches = [(ASSIGN, ASSIGN_NEAR), (ACCESS, "AKIA"), (HEX, "[0-9a-f]{16}"), (RUN, "[A-Za-z0-9+/_=-]{20}")]
+    searches = [(ASSIGN, ASSIGN_NEAR), (ACCESS, "AKIA"), (HEX, "[0-9a-f]{16}"), (RUN, RUN_NEAR)]
     columns = [
         F.struct(F.lit(k).alias("kind"), F.when(text.rlike(near), found(text, F.lit(regex))).otherwise(none).alias("hits"))
         for k, (regex, near) in enumerate(searches)
     ]
-    near = text.contains("AKIA") | text.rlike("[A-Za-z0-9+/_=-]{16}") | text.rlike(ASSIGN_NEAR)
+    near = text.contains("AKIA") | text.rlike(RUN_NEAR) | text.rlike(ASSIGN_NEAR)
     some = rows.where(near).select(*row_key(text, F.col("doc_id")), "text").dropDuplicates(KEY)
     hits = some.select(*KEY, F.explode(F.array(*columns)).alias("s")).select(*KEY, "s.kind", F.posexplode("s.hits").alias("pos", "hit"))
     hits = placed(hits.select(*KEY, "kind", "pos", "hit.before", "hit.match"), [*KEY, "kind"])
