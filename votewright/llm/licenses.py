@@ -11,7 +11,10 @@ order, so its cost does not grow with the square of their number.
 Defined results: a null text is empty; without places n_base is 0, first_word
 and last_word are null, the label lists are empty strings and the score is 0.
 The score is 1 with a base label, else 0.95, 0.8 or 0.5 by the best surviving
-priority. Rows that repeat an id and a text get the same answer each.
+priority. Texts are scanned whole, however long. Rows that repeat an id and a
+text, and rows without an id, get the same answer each; of two rules that find
+the very same place the first in the list counts. Further columns are ignored;
+an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -15,8 +15,10 @@ is scored once per batch however often it stands there.
 
 Defined results: texts without words (null, empty, punctuation) get the score
 of an empty segment, the softmax of the bias; with no labelled rows every score
-is 0.0. Repeated label rows of a document count once, as the largest label;
-rows with null doc_id or null labels are not learned from.
+is 0.0. Texts are scored whole, however long; repeated rows, and rows without an
+id, are scored one by one. Repeated label rows of a document count once, as the
+largest label; rows with null doc_id or null labels are not learned from. An
+empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ SEGMENT = 48
 #: At most so many labelled texts of each label, none longer than TRAIN_CHARS, are learned from.
 TRAIN_ROWS = 2500
 DECAY = 1e-6
-TRAIN_CHARS = 5000
+TRAIN_CHARS = 1_000_000
 
 
 def bags(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +80,7 @@ class SubwordBag:
         self.out = ((rng.random((SIZE, 2)) - 0.5) / SIZE).astype(np.float32)
         self.bias = np.zeros(2, np.float32)
 
-    def fit(self, texts: list[str], labels: np.ndarray, epochs: tuple[int, int] = (4, 8), rate: float = 0.02, batch: int = 64, seed: int = 22) -> None:
+    def fit(self, texts: list[str], labels: np.ndarray, epochs: tuple[int, int] = (8, 8), rate: float = 0.02, batch: int = 64, seed: int = 22) -> None:
         """Adam on the cross-entropy; both classes weigh alike. epochs: over whole texts, then over their most toxic segments."""
         data, off = common.utf8(pa.array(texts, pa.large_string()))
         data = common.LOWER[data]
