@@ -10,6 +10,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
+    import votewright
+
     base = tmp_path_factory.mktemp("spark")
     session = (
         SparkSession.builder.master("local[4]")
@@ -21,5 +23,6 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    votewright.ship(session)
     yield session
     session.stop()

@@ -164,14 +164,14 @@ class Scorer:
         if not cells:
             raise ValueError("there is nothing to score")
         known = cells if self.abstain is None else [c for c in cells if self.abstain not in c[:2]]
-        return {m: float(from_confusion(cells if m == "coverage" else known, m, **self.kwargs.get(m, {}))) for m in self.metrics}
+        return {m: float(from_confusion(cells if m == "coverage" else known, m, **self.kwargs.get(m, {}))) for m in self.metrics if m != "roc_auc"}
 
     def score_arrays(self, golds: np.ndarray, preds: np.ndarray, probs: np.ndarray | None = None) -> dict[str, float]:
         """The metrics of arrays on the driver; custom functions, which take frames, are left out."""
         golds, preds = np.asarray(golds, int), np.asarray(preds, int)
         pairs, counts = np.unique(np.stack([golds, preds], 1), axis=0, return_counts=True)
         cells = [(int(g), int(p), int(n)) for (g, p), n in zip(pairs, counts, strict=True)]
-        out = Scorer([m for m in self.metrics if m != "roc_auc"], None, self.abstain, self.kwargs)._from_cells(cells)
+        out = self._from_cells(cells)
         if "roc_auc" in self.metrics:
             known = np.ones(len(golds), bool) if self.abstain is None else (golds != self.abstain) & (preds != self.abstain)
             out["roc_auc"] = array_auc(golds[known] == 1, np.asarray(probs)[known, 1])
