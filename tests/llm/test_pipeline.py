@@ -50,3 +50,25 @@ def test_emptied_copies_go(spark, tmp_path):
     assert {r.doc_id for r in edited.where("text = ''").collect()} == {1, 2, 3, 4, 5}
     # of the emptied copies one stays, as of the other equal texts without words
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, edited, str(tmp_path)).collect()) == [0, 1, 10, 12, 13, 14]
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls in every column, repeated rows, a very long text and columns with names the operators use themselves."""
+    own = "doc_id long, text string, lang string, source string, n_chars int, kept string, gone_id long, items string, whole int, mark string, label int, node string, `in_text` string"
+    say = lambda k, n=40: " ".join(f"{c}{k}" for c in "abcdefghijklmnopqrstuvwxyz"[: n % 27] * (n // 20 + 1))
+    row = lambda i, t, lang="en": (i, t, lang, "s", None, "k", 5, "i", 1, "m", 0, "n", "x")
+    rows = [row(k, say(k)) for k in range(12)] + [row(3, say(3)), row(20, say(4) + " more"), row(None, say(30)), row(None, say(30)), (None,) * 13, row(21, None), row(22, ""), row(23, "-- --"), row(24, say(77) * 400)]
+    docs = spark.createDataFrame(rows, own)
+    spark.createDataFrame([(1, say(7)), (None, "x"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for frame in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, frame, str(tmp_path))
+            out.write.mode("overwrite").parquet(f"{tmp_path}/{name}")
+            out = spark.read.parquet(f"{tmp_path}/{name}")
+            if name != "packing":
+                assert out.columns == docs.columns
+                frame = out
+        ids = {r.doc_id for r in out.collect()}
+        assert ids <= {r.doc_id for r in frame.collect()}
+        if not docs.where("true").isEmpty() and ids:
+            assert ids == set(range(12)) | {20, 24, None}  # of 20 nothing is left, and it is the only one
