@@ -140,9 +140,15 @@ BATCH_BYTES = 4 << 20
 LAST_ID = (1 << 63) - 1
 
 
+#: Arrays of 1 MB and more are given back to the system as soon as they are freed.
+ALLOCATOR = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def small_batches(spark: SparkSession) -> None:
-    """From now on the session's Arrow batches end at ``BATCH_BYTES``, so that long texts do not add up in a Python worker."""
+    """From now on the session's Arrow batches end at ``BATCH_BYTES``, and its Python workers do not hold on to freed memory."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    for name, value in ALLOCATOR.items():
+        spark.sparkContext.environment.setdefault(name, value)
 
 
 def order_id(documents: DataFrame) -> Column:
@@ -153,12 +159,12 @@ def order_id(documents: DataFrame) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or of the context; one beneath the warehouse where neither is set."""
-    context = spark.sparkContext
+    """The folder of spark.checkpoint.dir, or of the context; one beneath the warehouse where neither is set, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
-    return named or context._jsc.sc().getCheckpointDir().get()
+    if named:
+        return named
+    set_for = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return set_for.get() if set_for.isDefined() else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
 
 
 def checkpoint_folder(spark: SparkSession, name: str = "pipeline") -> str:
@@ -166,16 +172,6 @@ def checkpoint_folder(spark: SparkSession, name: str = "pipeline") -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
-    """``df`` written to the cluster's shared checkpoint folder, its lineage cut.
-
-    The folder is read from the session (spark.checkpoint.dir); only where none
-    is set, as in local tests, a folder beneath the warehouse is taken.
-    """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager)
-
-
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

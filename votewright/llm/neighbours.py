@@ -29,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows in a block, about, and in a tile within a cell.
-QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 8192
+#: Least and most rows in a block, about, and rows in a tile within a cell. Blocks grow with the table, so that rows are copied less often.
+QUERY_BLOCK, CANDIDATE_BLOCK = (2048, 16_384), (8192, 32_768)
+SIDE = 16
 QUERY_TILE, CANDIDATE_TILE = 256, 2048
 PAIRS = 100_000
 SCHEMA = "query_id long, vec_id long, score double"
@@ -118,13 +119,14 @@ def usable(embeddings: DataFrame) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
-def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
+def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, query_block: int | None = None, candidate_block: int | None = None) -> DataFrame:
     """The k nearest rows of each row whose vec_id is divisible by ``every``: query_id, rank, vec_id, score."""
     rows = usable(embeddings)
     asked = rows.where(F.col("vec_id") % every == 0)
     counts = rows.select(F.count(F.lit(1)), F.count_if(F.col("vec_id") % every == 0)).first()
-    blocks = max(1, -(-counts[0] // candidate_block))
-    query_blocks = max(1, -(-counts[1] // query_block))
+    size_of = lambda n, bounds: min(bounds[1], max(bounds[0], n // SIDE))
+    blocks = max(1, -(-counts[0] // (candidate_block or size_of(counts[0], CANDIDATE_BLOCK))))
+    query_blocks = max(1, -(-counts[1] // (query_block or size_of(counts[1], QUERY_BLOCK))))
     dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     every_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     size = F.size("embedding").alias("dims")

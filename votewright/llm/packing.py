@@ -96,7 +96,6 @@ class WordEncoder:
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[int, int] = {}
         self.table = pd.Index(np.zeros(0, np.uint64))
         self.sizes = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
