@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .mapping import LambdaMapper, Mapper, apply_mappers, chain, map_batch, missing_parentheses, unique_names
+from .mapping import LambdaMapper, Mapper, apply_mappers, chain, map_batch, missing_parentheses, pieces, unique_names
 
 ABSTAIN = -1
 
@@ -145,16 +145,19 @@ def _python_votes(df: DataFrame, lfs: list[LabelingFunction], carry: list[str],
         m.schema()
     schema = T.StructType([*(df.schema[c] for c in carry), T.StructField("_python", T.ArrayType(T.IntegerType()))])
 
+    def votes_on(pdf):
+        columns, mapped = [], {}
+        for lf in lfs:
+            key = tuple(id(m) for m in lf.pre)
+            if key not in mapped:  # functions that share preprocessors share their result
+                mapped[key] = map_batch(pdf, lf.pre, tolerant)
+            columns.append(_votes_of(lf, mapped[key], tolerant))
+        return [list(v) for v in zip(*columns, strict=True)]
+
     def run(batches):
         for pdf in batches:
-            columns, mapped = [], {}
-            for lf in lfs:
-                key = tuple(id(m) for m in lf.pre)
-                if key not in mapped:  # functions that share preprocessors share their result
-                    mapped[key] = map_batch(pdf[inputs], lf.pre, tolerant)
-                columns.append(_votes_of(lf, mapped[key], tolerant))
             out = pdf[carry].copy()
-            out["_python"] = [list(v) for v in zip(*columns, strict=True)] if len(pdf) else []
+            out["_python"] = [v for piece in pieces(pdf, inputs) for v in votes_on(piece[inputs])]
             yield out
 
     return df.select(*fields).mapInPandas(run, schema)

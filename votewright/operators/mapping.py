@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import inspect
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, field, replace
 from types import SimpleNamespace
 from typing import Any
@@ -187,12 +187,36 @@ def _python(df: DataFrame, m: Mapper) -> DataFrame:
     schema = T.StructType([*(df.schema[c] for c in kept), *new.values()])
 
     def run(batches):
-        for pdf in batches:
-            yield map_batch(pdf, [m], alone=True)[[*kept, *new]]
+        for batch in batches:
+            for pdf in pieces(batch, m.inputs):
+                yield map_batch(pdf, [m], alone=True)[[*kept, *new]]
 
     return df.mapInPandas(run, schema)
 
 
+#: Characters (or elements of arrays) of the inputs that go through Python functions at once, about.
+PIECE_CHARS = 1 << 17
+
+
+def pieces(pdf: pd.DataFrame, columns: Iterable[str]) -> Iterator[pd.DataFrame]:
+    """The rows of a batch, in order, in pieces of at most ``PIECE_CHARS`` in ``columns``; a longer row is a piece of its own.
+
+    What a function makes of a text can be hundreds of times as large (a parse
+    is a dict for each token), so a batch's outputs never stand in memory together.
+    """
+    length = np.zeros(len(pdf), dtype=np.int64)
+    for c in columns:
+        if pdf[c].dtype == object:
+            length += [len(v) if hasattr(v, "__len__") else 0 for v in pdf[c]]
+    ends = np.cumsum(length)
+    start = 0
+    while start < len(pdf):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + PIECE_CHARS, side="right")))
+        yield pdf.iloc[start:stop]
+        start = stop
+
+
 def _memoized(df: DataFrame, m: Mapper) -> DataFrame:
     """Each combination of key values is mapped once and joined back (nulls match nulls)."""
     key = m.memoize_key or m.inputs
