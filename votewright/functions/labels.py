@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +21,16 @@ def cast_votes(votes: Column | str) -> Column:
     return F.filter(_col(votes), lambda v: v >= 0)
 
 
+def bound(value: Column | str, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for a row, however often ``body`` names it.
+
+    A filter on a derived column is pushed below the projections it was made in,
+    where each name stands for its whole expression: without this, work grows as
+    the product of the references of all steps.
+    """
+    return F.get(F.transform(F.array(_col(value)), body), F.lit(0))
+
+
 def sha1_mod(value: Column | str, n: Column) -> Column:
     """SHA-1 of a number's decimal digits, as an integer modulo ``n``, folded eight hex digits at a time."""
     digest = F.sha1(_col(value).cast("string").cast("binary"))
@@ -35,22 +46,28 @@ def probs_to_preds(probs: Column | str, tie_break_policy: str = "random", index:
     "random" picks by the SHA-1 of ``index``, a number that stands for the row;
     "true-random" draws anew each time; "abstain" gives -1.
     """
-    p = _col(probs)
     if tie_break_policy not in TIE_POLICIES:
         raise ValueError(f"unknown tie_break_policy: {tie_break_policy}")
-    top = F.array_max(p)
-    ties = F.filter(F.transform(p, lambda x, i: F.when(top - x < tol, i)), lambda i: i.isNotNull())
-    first = F.element_at(ties, 1).cast("int")
-    if tie_break_policy == "abstain":
-        tied = F.lit(ABSTAIN)
-    elif tie_break_policy == "true-random":
-        tied = F.element_at(ties, (F.floor(F.rand() * F.size(ties)) + 1).cast("int")).cast("int")
-    else:
-        if index is None:
-            raise ValueError("the random tie break needs an index column")
-        tied = F.element_at(ties, (sha1_mod(index, F.size(ties)) + 1).cast("int")).cast("int")
-    few = F.size(p) <= 1
-    return F.when(few, F.raise_error(F.lit("probs must have more than one class")).cast("int")).when(F.size(ties) == 1, first).otherwise(tied)
+    if tie_break_policy == "random" and index is None:
+        raise ValueError("the random tie break needs an index column")
+
+    def chosen(ties: Column, draw: Column | None = None) -> Column:
+        if tie_break_policy == "abstain":
+            tied = F.lit(ABSTAIN)
+        elif tie_break_policy == "true-random":
+            tied = F.element_at(ties, (F.floor(draw * F.size(ties)) + 1).cast("int")).cast("int")
+        else:
+            tied = F.element_at(ties, (sha1_mod(index, F.size(ties)) + 1).cast("int")).cast("int")
+        return F.when(F.size(ties) == 1, F.element_at(ties, 1).cast("int")).otherwise(tied)
+
+    def best(p: Column, draw: Column | None = None) -> Column:
+        ties = bound(F.array_max(p), lambda top: F.filter(F.transform(p, lambda x, i: F.when(top - x < tol, i)), lambda i: i.isNotNull()))
+        few = F.raise_error(F.lit("probs must have more than one class")).cast("int")
+        return F.when(F.size(p) <= 1, few).otherwise(bound(ties, lambda t: chosen(t, draw)))
+
+    if tie_break_policy == "true-random":  # drawn outside of what is computed for the row's classes
+        return bound(F.rand(), lambda draw: bound(probs, lambda p: best(p, draw)))
+    return bound(probs, best)
 
 
 def preds_to_probs(preds: Column | str, cardinality: int) -> Column:
@@ -134,10 +151,11 @@ def uniform(seed: int, *parts: Column | str | int) -> Column:
 
 def softmax(scores: Column | str) -> Column:
     """exp(x - max) / sum, computed on an array."""
-    s = _col(scores)
-    top = F.array_max(s)
-    e = F.transform(s, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    def shares(e: Column) -> Column:
+        return bound(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(e, lambda x: x / total))
+
+    powers = lambda s: bound(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top)))
+    return bound(scores, lambda s: bound(powers(s), shares))
 
 
 def cross_entropy_with_probs(logits: Column | str, target: Column | str, weight: list[float] | None = None) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LabelModelTrainConfig, merge_config
-from ..functions.labels import probs_to_preds, softmax, uniform
+from ..functions.labels import bound, probs_to_preds, softmax, uniform
 from ..functions.optim import Optimizer, lr_schedule
 from ..sources.params import read_params, write_params
 from .labeling import VoteFrame
@@ -76,8 +76,8 @@ class RandomVoter(BaseLabeler):
 
     def proba(self, votes: VoteFrame) -> Column:
         draws = F.array(*[uniform(self.seed, F.col(votes.id_col).cast("string"), c) for c in range(self.cardinality)])
-        total = F.aggregate(draws, F.lit(0.0), lambda a, x: a + x)
-        return F.transform(draws, lambda x: x / total)
+        total = lambda d: F.aggregate(d, F.lit(0.0), lambda a, x: a + x)
+        return bound(draws, lambda d: bound(total(d), lambda t: F.transform(d, lambda x: x / t)))
 
 
 class MajorityClassVoter(BaseLabeler):
@@ -100,11 +100,18 @@ class MajorityLabelVoter(BaseLabeler):
 
     def proba(self, votes: VoteFrame) -> Column:
         k = self.cardinality
-        counts = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: F.size(F.filter("votes", lambda v: v == c)))
-        share = F.size(F.filter(counts, lambda x: x == F.array_max(counts)))
-        probs = F.transform(counts, lambda x: F.when(x == F.array_max(counts), F.lit(1.0) / share).otherwise(0.0))
         beyond = F.raise_error(F.lit(f"a vote is not below the cardinality {k}")).cast("array<double>")
-        return F.when(F.exists("votes", lambda v: v >= k), beyond).otherwise(probs)
+
+        def shared(counts: Column, top: Column) -> Column:
+            share = F.size(F.filter(counts, lambda x: x == top))
+            return bound(F.lit(1.0) / share, lambda each: F.transform(counts, lambda x: F.when(x == top, each).otherwise(0.0)))
+
+        def of(votes: Column) -> Column:
+            counts = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: F.size(F.filter(votes, lambda v: v == c)))
+            probs = bound(counts, lambda n: bound(F.array_max(n), lambda top: shared(n, top)))
+            return F.when(F.exists(votes, lambda v: v >= k), beyond).otherwise(probs)
+
+        return bound("votes", of)
 
 
 def vote_counts(votes: VoteFrame, cardinality: int) -> tuple[np.ndarray, int]:
@@ -286,15 +293,12 @@ def posterior(mu: np.ndarray, p: np.ndarray, m: int, k: int) -> Column:
     """Class probabilities of a row's votes, from P(vote | class) and the class balance."""
     with np.errstate(divide="ignore"):
         logs, prior = np.log(np.asarray(mu, dtype=np.float64)), np.log(np.asarray(p, dtype=np.float64))
-    scores = []
-    for y in range(k):
-        table = F.split(F.lit(",".join(map(repr, logs[:, y].tolist())).replace("inf", "Infinity")), ",").cast("array<double>")
-        scores.append(_voted_sum(table, k, float(prior[y])))
-    return softmax(F.array(*scores))
+    tables = [F.split(F.lit(",".join(map(repr, logs[:, y].tolist())).replace("inf", "Infinity")), ",").cast("array<double>") for y in range(k)]
+    return softmax(bound("votes", lambda votes: F.array(*[_voted_sum(votes, table, k, float(prior[y])) for y, table in enumerate(tables)])))
 
 
-def _voted_sum(table: Column, k: int, start: float) -> Column:
-    terms = F.transform("votes", lambda v, j: F.when(v >= 0, F.get(table, j * k + v)).otherwise(0.0))
+def _voted_sum(votes: Column, table: Column, k: int, start: float) -> Column:
+    terms = F.transform(votes, lambda v, j: F.when(v >= 0, F.get(table, j * k + v)).otherwise(0.0))
     return F.aggregate(terms, F.lit(start), lambda a, x: a + x)
 
 

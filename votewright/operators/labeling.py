@@ -131,7 +131,7 @@ def apply_lfs(df: DataFrame, lfs: Iterable[LabelingFunction], id_col: str, keep:
         votes = F.array(*[F.coalesce(v, F.lit(ABSTAIN)) for v in raw])
         faults = F.array(*[v.isNull().cast("int") for v in raw])
         return VoteFrame(work.select(id_col, *keep, votes.alias("votes"), faults.alias("faults")), id_col, [lf.name for lf in lfs], ("faults",))
-    strict = [F.when(v.isNull(), F.raise_error(F.lit(f"labeling function {lf.name} returned no vote")).cast("int")).otherwise(v) for v, lf in zip(raw, lfs, strict=True)]
+    strict = [F.coalesce(v, F.raise_error(F.lit(f"labeling function {lf.name} returned no vote")).cast("int")) for v, lf in zip(raw, lfs, strict=True)]
     return VoteFrame(work.select(id_col, *keep, F.array(*strict).alias("votes")), id_col, [lf.name for lf in lfs])
 
 
