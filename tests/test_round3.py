@@ -9,6 +9,7 @@ from votewright.operators.label_models import LabelModel, MajorityLabelVoter
 from votewright.operators.labeling import apply_lfs, labeling_function
 from votewright.operators.mapping import apply_mappers, preprocessor
 from votewright.operators.nlp import nlp_labeling_function, nlp_preprocessor, simple_parser
+from votewright.plans import catalogue
 
 
 @preprocessor(kind="pandas", outputs="seen long", inputs=["text"])
@@ -76,3 +77,11 @@ def test_a_filter_on_predictions_computes_votes_once(spark, tmp_path):
     assert {r.pred for r in ties} <= {0, 1} and all(r.pred == 0 for r in ties if r.id % 6 == 3)
     with pytest.raises(Exception, match="lf_null returned no vote"):
         MajorityLabelVoter(2).predict(apply_lfs(df, [lf_null, lf_even], "id"), "random").where("pred = 1").collect()
+
+
+def test_texts_are_not_joined_to_gold_labels(spark):
+    for name in ("label_instances", "filter_labels", "lf_summary_gold"):
+        lines = plan_of(catalogue.queries()[name](spark, "/root/testdata/sf0.001")).split("\n")
+        assert sum(x.count("License") for x in lines) <= 6
+        join = next(k for k, x in enumerate(lines) if "Join" in x)
+        assert not any("License" in x for x in lines[:join])

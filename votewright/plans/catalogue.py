@@ -7,6 +7,7 @@ where a document has none. Every oracle starts from the same CASE expressions.
 from __future__ import annotations
 
 import tempfile
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -77,16 +78,19 @@ def gold_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def votes(spark: SparkSession, d: str, gold: bool = False) -> VoteFrame:
-    if gold:
-        return apply_lfs(gold_documents(spark, d), LFS, "doc_id", ("gold",))
-    return apply_lfs(read_table(spark, d, "documents"), LFS, "doc_id")
+    v = apply_lfs(read_table(spark, d, "documents"), LFS, "doc_id")
+    return judged(v, read_table(spark, d, "labels")) if gold else v
+
+
+def judged(v: VoteFrame, labels: DataFrame) -> VoteFrame:
+    """Votes with ``gold``: joined to the votes, so that the texts voted on are not shuffled."""
+    return replace(v, df=with_gold(v.df, labels, v.id_col, "quality"))
 
 
 def predicted(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, gold, votes, probs, pred of the majority vote, and the slice columns."""
-    frame = gold_documents(spark, d)
-    sliced = frame.withColumns({"s_short": (F.col("n_chars") < 900).cast("int"), "s_en": (F.col("lang") == "en").cast("int"), "s_mod3": (F.col("doc_id") % 3 == 0).cast("int")})
-    v = apply_lfs(sliced, LFS, "doc_id", ("gold", *SLICES))
+    sliced = read_table(spark, d, "documents").withColumns({"s_short": (F.col("n_chars") < 900).cast("int"), "s_en": (F.col("lang") == "en").cast("int"), "s_mod3": (F.col("doc_id") % 3 == 0).cast("int")})
+    v = judged(apply_lfs(sliced, LFS, "doc_id", SLICES), read_table(spark, d, "labels"))
     return MajorityLabelVoter(2).predict(v, "random", return_probs=True)
 
 
